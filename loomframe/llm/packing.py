@@ -159,7 +159,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     for d in done[1:]:
         whole = whole.unionByName(d)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + (["ids"] if keep_ids else [])
-    return whole.select(F.monotonically_increasing_id().alias("sequence_id"), F.inline("members")).select(*cols)
+    return whole.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.inline("members")).select(*cols)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import bpe, tokencount
+from loomframe.llm import bpe, flac, packing, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2_packing,
+        "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
+        "op10_flac": flac.op10_flac,
     }
 
 
