@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import bpe, flac, packing, quality, sharding, tokencount
+from loomframe.llm import bpe, flac, packing, pii, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
+        "op3_pii": pii.op3_pii,
         "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
