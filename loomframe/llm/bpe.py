@@ -34,6 +34,8 @@ LONG_WORD = 256
 #: Words whose ids a worker remembers, and the longest word that it remembers, in bytes.
 CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 48
+#: Bytes of text encoded and decoded at once; indices of their bytes take eight times that.
+SLICE_BYTES = 4 << 20
 #: Words that share one set of tree arrays.
 GROUP_WORDS = 8_192
 
@@ -442,7 +444,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, off = bpe.encode(part.column(1).to_pylist())
                 text, spans = bpe.decode(ids, off)
                 raw, blob = ids.astype("<u4").tobytes(), text.tobytes()

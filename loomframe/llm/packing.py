@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm.arrowtext import slices
-from loomframe.llm.bpe import default_path, word_bpe
+from loomframe.llm.bpe import SLICE_BYTES, default_path, word_bpe
 from loomframe.llm.shared import Shared
 
 #: A bin with no more free places than this is emitted.
@@ -135,7 +135,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE_BYTES):
                     yield token_pieces(part, path, capacity, end_id, keep_ids)
 
         yield from _pack_partition(capacity)(items())
