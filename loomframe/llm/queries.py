@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import ann, bpe, flac, packing, pii, quality, sharding, tokencount
+from loomframe.llm import ann, bpe, flac, neardup, packing, pii, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
         "op3_pii": pii.op3_pii,
+        "op4_ngram_jaccard": neardup.op4_ngram_jaccard,
         "op5_ann": ann.op5_ann,
         "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": tokencount.op8_token_counts,
