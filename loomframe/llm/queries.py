@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import ann, bpe, flac, neardup, packing, pii, quality, sharding, tokencount
+from loomframe.llm import ann, bpe, flac, neardup, packing, passages, pii, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": pii.op3_pii,
         "op4_ngram_jaccard": neardup.op4_ngram_jaccard,
         "op5_ann": ann.op5_ann,
+        "op6_passages": passages.op6_passages,
         "op7_sharding": sharding.op7_sharding,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
