@@ -156,7 +156,11 @@ class Points:
         else:
             hit = F.lit(True)
         if number is None:
-            return f._with(f._df.filter(hit), dense=False), f._with(f._df.filter(~hit), dense=False)
+            rest = f._with(f._df.filter(~hit), dense=False)
+            if isinstance(target, QueryString) and f._source is not None:  # the filter goes below the ids, to the scan
+                i = f._feature_index(target.identifier)
+                return Frame._over(f._source.filter(target.filter(F.col(f"f{i}"), f._types[i])), f._names, f.name, f.absolutePath), rest
+            return f._with(f._df.filter(hit), dense=False), rest
         matched = f._df.filter(hit)
         keep = matched.orderBy(F.rand(_seed())) if randomize else matched.orderBy(PID)
         ids = keep.limit(number).select(PID)

@@ -76,6 +76,7 @@ class Frame:
     def __init__(self, df: DataFrame, names: list[str | None], dense: bool = False, name: str | None = None, path: str | None = None, rows: int | None = None, dims: list[int] | None = None, read_only: bool = False):
         self._df, self._names, self._dense, self.name, self.absolutePath = df, list(names), dense, name, path
         self._rows, self._dims, self._read_only = rows, dims, read_only
+        self._source: DataFrame | None = None
         known = [n for n in names if n is not None]
         if len(set(known)) != len(known):
             raise InvalidArgumentValue("feature names must be unique")
@@ -89,12 +90,20 @@ class Frame:
         q = lambda c: F.col("`" + c.replace("`", "``") + "`")
         cols = [q(c).alias(f"f{i}") for i, c in enumerate(features)]
         names = [q(pointNames).cast("string").alias(PNAME)] if pointNames else []
-        plan = df.select(F.monotonically_increasing_id().alias(PID), *names, *cols)
-        out = cls(no_nan(plan, [f"f{i}" for i in range(len(features))]), features, name=name, path=path)
+        out = cls._over(df.select(*names, *cols), features, name, path)
         if order:
             out.points.sort(order)
         return out
 
+    @classmethod
+    def _over(cls, source: DataFrame, names: list[str | None], name: str | None = None, path: str | None = None) -> Frame:
+        """A frame over a source with physical columns. The source stays known until a verb changes the frame, so that
+        queries filter it before ids are given, which no filter passes."""
+        plan = source.select(F.monotonically_increasing_id().alias(PID), *source.columns)
+        out = cls(no_nan(plan, [c for c in source.columns if c != PNAME]), names, name=name, path=path)
+        out._source = source
+        return out
+
     def to_spark(self, pid: bool = False) -> DataFrame:
         """The features as a DataFrame by their names (unnamed: _c and their place); point names as column `pointNames`."""
         names = [PID] if pid else []
@@ -107,7 +116,7 @@ class Frame:
         if self._read_only:
             raise ImproperObjectAction("a view cannot be changed")
         self._df, self._names, self._dense, self._rows = other._df, other._names, other._dense, other._rows
-        self._dims = None
+        self._dims, self._source = None, other._source
 
     @property
     def _named(self) -> bool:
@@ -135,7 +144,7 @@ class Frame:
         if not self._dense:
             n = self._count()
             self._df = ranked(self._df.withColumnRenamed(PID, "__old"), [F.col("__old")], PID, n).drop("__old").select(*self._keys_of(PNAME in self._df.columns), *self._cols)
-            self._dense = True
+            self._dense, self._source = True, None
         return self
 
     @staticmethod
@@ -297,7 +306,11 @@ class Frame:
 
     def _select(self, indices: list[int]) -> Frame:
         df = self._df.select(*self._keys, *[F.col(f"f{i}").alias(f"f{k}") for k, i in enumerate(indices)])
-        return self._with(df, [self._names[i] for i in indices], rows=self._rows)
+        out = self._with(df, [self._names[i] for i in indices], rows=self._rows)
+        if self._source is not None:
+            names = [PNAME] if PNAME in self._source.columns else []
+            out._source = self._source.select(*names, *[F.col(f"f{i}").alias(f"f{k}") for k, i in enumerate(indices)])
+        return out
 
     def _point_ids(self, keys) -> list[int]:
         """Places of points given by name or place; names take one query."""
@@ -587,14 +600,15 @@ class Frame:
         types = dict(zip(self._cols, self._types, strict=True))
         if key == "medianabsolutedeviation":
             mid = self._df.groupBy(*keys).agg(*[F.median(F.col(c).cast("double")).alias(f"m_{c}") for c in rest if S.is_numeric(types[c])])
-            same = [self._df[k].eqNullSafe(mid[k]) for k in keys]
-            joined = self._df.join(mid, same)
-            return joined.groupBy(*[self._df[k] for k in keys]).agg(*[F.median(F.abs(F.col(c).cast("double") - F.col(f"m_{c}"))).alias(c) if S.is_numeric(types[c]) else F.lit(float("nan")).alias(c) for c in rest])
+            mid = mid.withColumnsRenamed({k: f"__{k}" for k in keys})
+            joined = self._df.join(mid, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+            return joined.groupBy(*keys).agg(*[F.median(F.abs(F.col(c).cast("double") - F.col(f"m_{c}"))).alias(c) if S.is_numeric(types[c]) else F.lit(float("nan")).alias(c) for c in rest])
         if key == "mode":
             out = None
             for c in rest:
                 one = mode_plan(self._df, keys, c, types[c])
-                out = one if out is None else out.join(one, [out[k].eqNullSafe(one[k]) for k in keys]).select(out["*"], one[c])
+                same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+                out = one if out is None else out.join(one.withColumnsRenamed({k: f"__{k}" for k in keys}), same).drop(*[f"__{k}" for k in keys])
             return out
         return self._df.groupBy(*keys).agg(*[S.AGGREGATES[key](F.col(c), types[c]).alias(c) for c in rest])
 
@@ -694,7 +708,8 @@ def mode_plan(df: DataFrame, keys: list[str], c: str, t: T.DataType) -> DataFram
     counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).count()
     most = counts.groupBy(*keys).agg(F.max("count").alias("__most"))
     if keys:
-        best = counts.join(most, [counts[k].eqNullSafe(most[k]) for k in keys]).filter("count = __most").select(*[counts[k] for k in keys], c)
+        most = most.withColumnsRenamed({k: f"__{k}" for k in keys})
+        best = counts.join(most, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).filter("count = __most").select(*keys, c)
     else:
         best = counts.crossJoin(F.broadcast(most)).filter("count = __most")
     if S.is_numeric(t) and not isinstance(t, T.BooleanType):

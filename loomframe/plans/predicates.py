@@ -81,6 +81,16 @@ class QueryString:
         if self.word:
             hit = M.COLUMNS[self.word](c, t)
             return ~hit if self.op == "is not" else hit
+        return F.coalesce(self._compared(c, t), F.lit(self.op == "!="))
+
+    def filter(self, c: Column, t: T.DataType) -> Column:
+        """The predicate for a filter over a source: a bare comparison, which the scan can take, and NaN as missing."""
+        if self.word or self.op == "!=":
+            return self.element(c, t)
+        hit = self._compared(c, t)
+        return hit & ~F.isnan(c) if isinstance(t, (T.FloatType, T.DoubleType)) else hit
+
+    def _compared(self, c: Column, t: T.DataType) -> Column:
         number, v = isinstance(self.value, float), self.value
         if isinstance(t, T.StringType):
             v = f"{v:g}" if number and self.op in ("==", "!=") else v
@@ -98,8 +108,7 @@ class QueryString:
             c = c.cast("double")
         elif float(v).is_integer() and abs(v) < 2**53 and not isinstance(t, (T.FloatType, T.DoubleType)):
             v = int(v)  # keeps the comparison in the column's own type, so that it reaches the scan
-        hit = OPERATORS[self.op](c, v if isinstance(v, Column) else F.lit(v))
-        return F.coalesce(hit, F.lit(self.op == "!="))
+        return OPERATORS[self.op](c, v if isinstance(v, Column) else F.lit(v))
 
     def __call__(self, value) -> bool:
         """On an element, or on a point or feature that can be asked for the identifier."""
