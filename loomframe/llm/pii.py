@@ -125,16 +125,8 @@ def _spans(found: Column, generator: int) -> Column:
 # -- boosted trees ----------------------------------------------------------------------------------------------
 
 
-def luhn_digit(digits: str) -> str:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        d = int(d) * (2 - i % 2)
-        total += d - 9 if d > 9 else d
-    return str(-total % 10)
-
-
 def training_examples(seed: int = 7, each: int = 160) -> list[tuple[int, str, str, str, int]]:
-    """(generator, match, before, after, label), written from rules."""
+    """(generator, match, before, after, label), written from rules: candidates that no base rule takes, as only those are scored."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda a=3, b=9: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
@@ -145,17 +137,13 @@ def training_examples(seed: int = 7, each: int = 160) -> list[tuple[int, str, st
     for _ in range(each):
         tail = r.choice([" ", ". ", ", "]) + word()
         host = f"{word()}{r.choice(['(dot)', ' [dot] '])}{r.choice(['com', 'org', 'net'])}"
-        card = r.choice("45") + digits(14)
+        wrong = r.randrange(4)
         out += [
-            (0, f"{word()}.{digits(2)}@{word()}.com", prose(), tail, 1),
-            (1, ".".join(str(r.randint(1, 255)) for _ in range(4)), prose(), tail, 1),
-            (1, f"{r.randint(256, 999)}.{r.randint(0, 999)}.{r.randint(0, 999)}.{r.randint(256, 999)}", ask("version", "section", word()), tail, 0),
-            (2, card + luhn_digit(card), prose(), tail, 1),
+            (1, ".".join(str(r.randint(256, 999) if k == wrong else r.randint(0, 300)) for k in range(4)), r.choice([prose(), ask("version", "section", "host", word())]), tail, 0),
             (2, " ".join([digits(4)] * 3 + [digits(4)]), ask("card", "visa", "credit card"), tail, 1),
             (2, digits(r.randint(1, 12)), prose(), tail, 0),
             (2, digits(r.randint(13, 24)), r.choice([prose(), ask("order", "serial", "invoice", "isbn")]), tail, 0),
             (2, f"{r.randint(1900, 2100)}-{digits(2)}-{digits(2)} {digits(2)}", ask("date", word()), tail, 0),
-            (3, f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", prose(), tail, 1),
             (3, f"+{digits(2)}", prose(), tail, 0),
             (3, f"+{digits(r.randint(16, 30))}", prose(), tail, 0),
             (4, f"{word()}{r.choice(['(at)', ' [at] '])}{host}", r.choice([prose(), ask("mail", "contact")]), tail, 1),
@@ -244,7 +232,7 @@ class Model:
         feats = F.array(*_features(F.col("generator"), F.col("m"), F.col("before"), F.col("after")))
         got = sorted(rows.select("i", feats.alias("f")).collect())
         x, y = np.array([r["f"] for r in got]), np.array([e[-1] for e in examples], float)
-        apart = np.arange(len(y)) // 22 % 4 == 3
+        apart = np.arange(len(y)) * 4 // len(y) == 3
         self.trees = fit_trees(x[~apart], y[~apart])
         score = sum(apply_tree(t, x) for t in self.trees)
         self.slope, self.intercept = calibrate(score[apart], y[apart])
