@@ -40,8 +40,9 @@ FREQUENT = 65_536
 #: Documents of one slice that must share a shingle for it to be counted as frequent.
 FREQUENT_IN_SLICE = 4
 SLICE_BYTES = 4 << 20
-BLOCK = 1024
-BITMAP = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Bits of a set's bitmap: a power of two, at least twice its shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 1024, 1 << 17
 FANOUT = 8
 #: Pairs compared at a time.
 PAIRS = 1 << 16
@@ -76,30 +77,39 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(key, kind="stable")[:k]] if k < n else s
 
 
-# -- trees -------------------------------------------------------------------------------------------------------
+def bit_matrix(row: np.ndarray, col: np.ndarray, width: int, n: int) -> np.ndarray:
+    out = np.zeros((n, -(-width // 64)), np.uint64)
+    col = col.astype(np.int64)
+    np.bitwise_or.at(out, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+    return out
 
 
-class Sets:
-    """Exact sets of a block or two, their bitmaps and their components so far."""
+def width_of(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * n - 1).bit_length() if n else LEAST_BITS))
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        row = np.repeat(np.arange(len(sets)), self.size)
-        self.bits = self._matrix(row, (flat >> np.uint64(17)) % np.uint64(BITMAP), BITMAP)
-        self.count = np.bitwise_count(self.bits).sum(1).astype(np.int64)
-        universe = np.unique(flat)
-        self.exact = self._matrix(row, np.searchsorted(universe, flat), len(universe)) if len(sets) * len(universe) <= 8 * MATRIX_BYTES else None
-        self.root = np.arange(len(sets))
 
-    @staticmethod
-    def _matrix(row: np.ndarray, col: np.ndarray, width: int) -> np.ndarray:
-        n = int(row[-1]) + 1 if len(row) else 0
-        out = np.zeros((n, -(-width // 64)), np.uint64)
-        col = col.astype(np.int64)
-        np.bitwise_or.at(out, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
-        return out
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    """The residues of a set's shingles by the width, as words of 64 bits."""
+    out = np.zeros(width, np.uint8)
+    out[((s >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Wider bitmaps as bitmaps of fewer words: residues by the smaller width."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+# -- trees -------------------------------------------------------------------------------------------------------
+
+
+class Signatures:
+    """Sizes, bitmaps and components so far of some classes. Two may be linked if sizes and bitmaps allow it."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, percent: int):
+        self.size, self.bits, self.percent = size, bits, percent
+        self.count = np.bitwise_count(bits).sum(1).astype(np.int64)
+        self.root = np.arange(len(size))
 
     def find(self, i: np.ndarray) -> np.ndarray:
         while True:
@@ -108,49 +118,74 @@ class Sets:
                 return self.root[i]
             self.root = up
 
-    def join(self, a: int, b: int) -> None:
-        a, b = int(self.find(np.array([a]))[0]), int(self.find(np.array([b]))[0])
-        self.root[max(a, b)] = min(a, b)
+    def head(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = int(self.root[i])
+        return i
+
+    def join(self, i: int, j: int, links: list[tuple[int, int]]) -> None:
+        """Notes a link if its ends are not connected yet."""
+        a, b = self.head(i), self.head(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            links.append((i, j))
 
     def enough(self, overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
         """Whether 100 * overlap >= percent * union."""
         return (100 + self.percent) * overlap >= self.percent * (size_a + size_b)
 
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Each bit of one that the other has not is a shingle that they do not share."""
+        na, nb = self.size[i], self.size[j]
+        common = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1).astype(np.int64)
+        return self.enough(np.minimum(na - (self.count[i] - common), nb - (self.count[j] - common)), na, nb)
+
     def verify(self, a: np.ndarray, b: np.ndarray, links: list[tuple[int, int]]) -> None:
         """Links among pairs of members; pairs that are connected by now are passed over."""
         for at in range(0, len(a), PAIRS):
             i, j = a[at : at + PAIRS], b[at : at + PAIRS]
-            na, nb = self.size[i], self.size[j]
-            common = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1).astype(np.int64)
-            most = np.minimum(na - (self.count[i] - common), nb - (self.count[j] - common))
-            keep = self.enough(np.minimum(most, np.minimum(na, nb)), na, nb)
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            if self.exact is not None:
-                step = max(1, (32 << 20) // (8 * self.exact.shape[1]))
-                overlap = np.concatenate([np.bitwise_count(self.exact[i[k : k + step]] & self.exact[j[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(i), step)])
-            else:
-                overlap = np.empty(len(i), np.int64)
-                for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                    known = int(self.find(np.array([x]))[0]) == int(self.find(np.array([y]))[0])
-                    overlap[k] = 0 if known else len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-                    if not known and self.enough(overlap[k], self.size[x], self.size[y]):
-                        self.join(x, y)
-                        links.append((x, y))
-                        overlap[k] = 0
-            hit = self.enough(overlap, self.size[i], self.size[j]) & (overlap > 0)
-            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                if self.root[x] != self.root[y] or self.find(np.array([x]))[0] != self.find(np.array([y]))[0]:
-                    if self.find(np.array([x]))[0] != self.find(np.array([y]))[0]:
-                        self.join(x, y)
-                        links.append((x, y))
+            apart = self.find(i) != self.find(j)
+            i, j = i[apart], j[apart]
+            keep = self.possible(i, j)
+            self._links(i[keep], j[keep], links)
+
+    def _links(self, i: np.ndarray, j: np.ndarray, links: list[tuple[int, int]]) -> None:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            self.join(x, y, links)
+
+
+class Sets(Signatures):
+    """Classes with their exact sets."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets = sets
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(len(sets)), size)
+        width = width_of(int(size.max(initial=0)))
+        super().__init__(size, np.stack([bitmap(s, width) for s in sets]) if sets else np.zeros((0, 1), np.uint64), percent)
+        universe = np.unique(flat)
+        self.exact = bit_matrix(row, np.searchsorted(universe, flat), len(universe), len(sets)) if len(sets) * len(universe) <= 8 * MATRIX_BYTES else None
+
+    def _links(self, i: np.ndarray, j: np.ndarray, links: list[tuple[int, int]]) -> None:
+        if not len(i):
+            return
+        if self.exact is None:
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if self.head(x) != self.head(y) and self.enough(len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)), self.size[x], self.size[y]):
+                    self.join(x, y, links)
+            return
+        step = max(1, (32 << 20) // (8 * self.exact.shape[1]))
+        overlap = np.concatenate([np.bitwise_count(self.exact[i[k : k + step]] & self.exact[j[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(i), step)])
+        hit = self.enough(overlap, self.size[i], self.size[j])
+        super()._links(i[hit], j[hit], links)
 
 
 class Tree:
     """Nodes over members in order: for each level the first and last member, OR of bitmaps, sizes, least bits."""
 
-    def __init__(self, sets: Sets, members: np.ndarray):
+    def __init__(self, sets: Signatures, members: np.ndarray):
         least_bit = sets.bits[members].argmax(1)
         self.members = members[np.lexsort((members, sets.count[members], least_bit, sets.size[members]))]
         bits, size, count = sets.bits[self.members], sets.size[self.members], sets.count[self.members]
@@ -160,7 +195,7 @@ class Tree:
             at = np.arange(0, len(b), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(c, at)))
 
-    def one_component(self, sets: Sets, level: int) -> np.ndarray:
+    def one_component(self, sets: Signatures, level: int) -> np.ndarray:
         """The component of the members of each node of a level, -1 if they have several."""
         root = sets.find(self.members)
         at = np.arange(0, len(root), FANOUT**level)
@@ -168,7 +203,7 @@ class Tree:
         return np.where(low == high, low, -1)
 
 
-def tree_links(sets: Sets, left: np.ndarray, right: np.ndarray | None, links: list[tuple[int, int]]) -> None:
+def tree_links(sets: Signatures, left: np.ndarray, right: np.ndarray | None, links: list[tuple[int, int]]) -> None:
     """Traverses two trees together, or one with itself, and appends a spanning set of the links between their members."""
     if not len(left) or right is not None and not len(right):
         return
@@ -253,16 +288,62 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_shingles", "class", "prefix"]
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "class", "prefix", "bits"],
                 )
 
-    rows = store.cut(docs.mapInArrow(described, "doc_id long, n_shingles long, class long, prefix array<long>"))
+    rows = store.cut(docs.mapInArrow(described, "doc_id long, n_shingles long, class long, prefix array<long>, bits binary"))
     full = rows.filter("n_shingles > 0")
     # a class is known by its smallest document, which alone is routed (rows of that id and class have equal prefixes)
     classes = store.cut(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    routed = full.join(classes.select("class", F.col("first_id").alias("doc_id")), ["class", "doc_id"]).select("class", F.explode("prefix").alias("token"))
-    tokens = routed.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("token", "least")
-    pointers = routed.join(tokens, "token").filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
+    heads = store.cut(full.join(classes.select("class", F.col("first_id").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class"]).select("class", F.col("n_shingles").alias("n"), "prefix", "bits"))
+    routed = heads.select("class", F.explode("prefix").alias("token"))
+    buckets = routed.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who")).filter("n > 1")
+    tokens = buckets.groupBy("n", "who").agg(F.min("token").alias("token")).select("token")
+    members = store.cut(routed.join(tokens, "token", "left_semi"))
+    spots = members.join(heads.select("class", "n", "bits"), "class").repartition("token").sortWithinPartitions("token", "n", "class")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning connections of each bucket; rows come sorted by bucket, a bucket may go on in the next batch."""
+
+        def solved(t: pa.Table) -> pa.RecordBatch:
+            token, name = np.asarray(t["token"]), np.asarray(t["class"])
+            size, raw = np.asarray(t["n"]), t["bits"].to_pylist()
+            words = np.array([len(r) // 8 for r in raw])
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            ends = np.append(starts[1:], len(token))
+            of = np.repeat(np.arange(len(starts)), ends - starts)
+            links: list[tuple[int, int]] = []
+            # sets that may be linked have the same width or one the double of the other
+            for w in np.unique(words).tolist():
+                rows = np.flatnonzero((words == w) | (words == 2 * w))
+                bits = np.stack([fold(np.frombuffer(raw[r], np.uint64)[None], w)[0] for r in rows])
+                first = np.searchsorted(of[rows], np.arange(len(starts)), "left")
+                count = np.searchsorted(of[rows], np.arange(len(starts)), "right") - first
+                two = first[count == 2]
+                found: list[tuple[int, int]] = []
+                Signatures(size[rows], bits, percent).verify(two, two + 1, found)
+                for a, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                    part: list[tuple[int, int]] = []
+                    tree_links(Signatures(size[rows[a : a + n]], bits[a : a + n], percent), np.arange(n), None, part)
+                    found += [(a + i, a + j) for i, j in part]
+                links += [(int(rows[i]), int(rows[j])) for i, j in found]
+            pair = np.array(links, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(name[pair[:, 0]]), pa.array(name[pair[:, 1]])], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            token = np.asarray(held["token"])
+            whole = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
+            if whole:
+                yield solved(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield solved(held)
+
+    pointers = spots.mapInArrow(connect, "a long, b long").distinct()
     families = store.cut(components(pointers, store).select(F.col("node").alias("class"), F.col("root").alias("family")))
 
     # the sets of classes that share a family with another, from the text of the class's smallest document
@@ -279,7 +360,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pick), part.column(2).take(pick), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "family", "shingles"])
 
     members = docs.join(wanted, docs["doc_id"] == wanted["first_id"]).select("text", "class", "family").mapInArrow(with_sets, "class long, family long, shingles array<long>")
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = families.join(heads.select("class", "n"), "class").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, "family").withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))).cast("int"))
     members = store.cut(members)
 
@@ -323,7 +404,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     first = found.join(classes, "class").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = found.join(first, "root").select("class", "component_id")
     of_class = store.cut(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id")))
-    return rows.drop("prefix").join(of_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.drop("prefix", "bits").join(of_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
