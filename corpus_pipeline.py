@@ -13,7 +13,7 @@ from loomframe.llm.neardup import near_duplicates
 from loomframe.llm.packing import pack
 from loomframe.llm.passages import remove_passages
 from loomframe.llm.pii import redact
-from loomframe.llm.quality import score_quality
+from loomframe.llm.quality import keep_good
 from loomframe.llm.shared import Shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,9 +28,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good (of rows with one id, all if one is); a document without an id goes."""
-    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, scored.filter("predicted = 1"))
+    """Documents that the classifier predicts to be good."""
+    return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

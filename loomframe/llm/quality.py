@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 score = voters.value.score(term_counts(*string_buffers(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -190,5 +190,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, sample_per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """The rows of docs, with all their columns, that score the threshold or more: filtered where they are read, so no text is shuffled."""
+    voters = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, sample_per_class))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, names[at], 2 << 20):
+                score = voters.value.score(term_counts(*string_buffers(part.column(at))))
+                yield part.filter(pa.array(score >= threshold))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
