@@ -32,10 +32,10 @@ from loomframe.llm.arrowtext import segment_sums, slices, spans_gather, string_a
 #: Words of more symbols than this walk their tree one at a time.
 LONG_WORD = 256
 #: Words whose ids a worker remembers, and the longest word that it remembers, in bytes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_WORD_BYTES = 48
 #: Bytes of text encoded and decoded at once; indices of their bytes take eight times that.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words that share one set of tree arrays.
 GROUP_WORDS = 8_192
 
