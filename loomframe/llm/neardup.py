@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from loomframe.llm import wordhash
 from loomframe.llm.arrowtext import slices, string_buffers
 from loomframe.llm.components import components
-from loomframe.llm.shared import Shared
+from loomframe.llm.shared import Shared, membership, passes
 
 #: Shingles that come last in the order, as the most frequent; a bound on what is broadcast, not on what is linked.
 FREQUENT = 65_536
 #: Documents of one slice that must share a shingle for it to be counted as frequent.
 FREQUENT_IN_SLICE = 4
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bits of a set's bitmap: a power of two, at least twice its shingles, within these bounds.
 LEAST_BITS, MOST_BITS = 1024, 1 << 17
@@ -296,11 +296,38 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     full = rows.filter("n_shingles > 0")
     # a class is known by its smallest document, which alone is routed (rows of that id and class have equal prefixes)
     classes = store.cut(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    heads = store.cut(full.join(classes.select("class", F.col("first_id").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["class"]).select("class", F.col("n_shingles").alias("n"), "prefix", "bits"))
+    # only rows whose class has others are joined to find the class's first; all others are that already
+    several = classes.filter("n > 1")
+    copied = membership(several, "class")
+
+    def with_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(copied.value, np.asarray(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "copied"])
+
+    marked = full.select("doc_id", "class", F.col("n_shingles").alias("n"), "prefix", "bits").mapInArrow(with_copies, "doc_id long, class long, n long, prefix array<long>, bits binary, copied boolean")
+    first = several.select("class", F.col("first_id").alias("doc_id"))
+    alone = marked.filter("copied").join(classes.filter("n = 1").select("class"), "class", "left_semi")
+    heads = store.cut(
+        marked.filter("not copied").select("class", "n", "prefix", "bits")
+        .unionByName(alone.select("class", "n", "prefix", "bits"))
+        .unionByName(marked.filter("copied").join(first, ["class", "doc_id"]).dropDuplicates(["class"]).select("class", "n", "prefix", "bits"))
+    )
     routed = heads.select("class", F.explode("prefix").alias("token"))
-    buckets = routed.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who")).filter("n > 1")
-    tokens = buckets.groupBy("n", "who").agg(F.min("token").alias("token")).select("token")
-    members = store.cut(routed.join(tokens, "token", "left_semi"))
+    buckets = routed.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("who")).filter("n > 1")
+    buckets = store.cut(buckets.groupBy("n", "who").agg(F.min("token").alias("token")).select("token"))
+    kept = membership(buckets, "token")
+
+    def with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = np.asarray(lists.flatten())
+            hit = passes(kept.value, flat)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(flat[hit])], ["class", "token"])
+
+    near = heads.select("class", "prefix").mapInArrow(with_buckets, "class long, token long")
+    members = store.cut(near.join(buckets, "token", "left_semi"))
     spots = members.join(heads.select("class", "n", "bits"), "class").repartition("token").sortWithinPartitions("token", "n", "class")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

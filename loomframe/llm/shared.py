@@ -6,7 +6,12 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a membership filter: 8 MB however many keys there are. A fuller filter lets more rows pass, never fewer.
+FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +53,19 @@ class Shared:
 
     def drop(self, path: str) -> None:
         _delete(self.spark, path)
+
+
+def membership(keys: DataFrame, column: str):
+    """A broadcast bit set that has each key's bit, ORed together on executors: a bounded filter before a join on the keys."""
+    spark = keys.sparkSession
+    # the 26 lowest bits of a hash: 20 of the word, 6 of the bit in it
+    at = keys.select(F.col(column).bitwiseAND(FILTER_BITS - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return spark.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.astype(np.int64) & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
