@@ -135,6 +135,32 @@ def test_chains_and_alignment():
     assert (p, q, s, t) == (40, 140, 30, 130) and same == 99
 
 
+@pytest.mark.parametrize("long", [60, 200])
+@pytest.mark.parametrize("gap", [20, 31, 60, 100, 170, 350, 600])
+def test_passages_around_a_gap_are_kept(long, gap):
+    g = np.random.default_rng(gap)
+    first, second, third = (g.integers(1 << 40, size=long) for _ in range(3))
+    fresh = lambda: g.integers(1 << 40, size=gap)
+    for pieces, more in (((first, second), 0), ((first, second, third), 0), ((first, second), gap)):
+        a, b, seeds, held = [], [], [], []
+        for p in pieces:
+            if a:
+                a.append(fresh())
+                b.append(fresh()[: gap - more])  # none: put into one side only
+            at, there = sum(map(len, a)), sum(map(len, b))
+            seeds += [(at + k, there + k) for k in range(0, long - passages.SEED + 1, 5)]
+            held.append((at, at + long))
+            a.append(p)
+            b.append(p)
+        a, b = np.concatenate(a), np.concatenate(b)
+        found = [f for c in passages.chains(seeds) for f in passages.parts(c, a, b)]
+        covered = np.zeros(len(a), bool)
+        for p, q, s, t, same in found:
+            assert q - p >= passages.MIN_WORDS and same >= passages.IDENTITY * max(q - p, t - s)
+            covered[p:q] = True
+        assert all(covered[p:q].all() for p, q in held)
+
+
 def test_minimizers_are_shared():
     g = np.random.default_rng(4)
     run = g.integers(0, 2**63, passages.WINDOW).astype(np.uint64)

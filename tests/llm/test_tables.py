@@ -165,6 +165,17 @@ def test_passages(spark):
     assert all(cut[d] == rows[d][1] for d in untouched) and all(len(cut[d]) < len(rows[d][1]) for d in later)
 
 
+@pytest.mark.parametrize("gap", [20, 40, 100, 170, 600])
+def test_two_passages_of_one_pair_with_a_gap(spark, gap):
+    r = random.Random(gap)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    one, two = words(60), words(60)
+    rows = [(d, " ".join(one + words(gap) + two)) for d in (1, 2)]
+    rows += [(3, " ".join(one + two)), (4, " ".join(words(30) + two + words(10) + one))]
+    got = {x.doc_id: set(x.text.split()) for x in passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not got[d] & set(one + two) for d in (2, 3, 4)) and got[1] == set(rows[0][1].split())
+
+
 def test_nearest(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(700, 16)).astype(np.float32)
