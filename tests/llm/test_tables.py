@@ -176,6 +176,30 @@ def test_two_passages_of_one_pair_with_a_gap(spark, gap):
     assert all(not got[d] & set(one + two) for d in (2, 3, 4)) and got[1] == set(rows[0][1].split())
 
 
+def test_passages_of_lines_that_others_have_alone(spark):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    lines, docs, held = [words(20) for _ in range(30)], [], {}
+    for k in range(300):  # each has some lines, never two in a row
+        docs.append([w for _ in range(3) for w in words(15) + r.choice(lines)] + words(15))
+    for k in range(12):  # each sequence in two documents, the same lines in other orders
+        mixed = [w for x in r.sample(lines, 3) for w in x]
+        one, two = len(docs), len(docs) + 1
+        docs += [words(30) + mixed + words(30), words(40) + mixed + words(20)]
+        docs += [[w for _ in range(4) for w in words(15) + r.choice(lines)] for _ in range(5)]
+        held[two] = (40, 100, one)
+    rows = [(d, " ".join(w)) for d, w in enumerate(docs)] + [(9000, "the " * 4000), (9001, "the " * 4000)]
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    assert {(d, one) for d, (_, _, one) in held.items()} <= set(zip(got.doc_id, got.source_doc_id, strict=True))
+    # by brute force, no other pair has 50 words in a row
+    grams = {}
+    for d, text in rows:
+        w = text.split()
+        for g in {tuple(w[i : i + 50]) for i in range(len(w) - 49)}:
+            grams.setdefault(g, []).append(d)
+    assert set(got.doc_id) == {d for of in grams.values() for d in sorted(of)[1:]}
+
+
 def test_nearest(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(700, 16)).astype(np.float32)
