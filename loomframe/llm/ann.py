@@ -5,9 +5,12 @@ rows can show of them. Distinct vectors go to the cell of the nearest of some ce
 sample of CENTROID_SAMPLE vectors; every vector is indexed), so that a shard has about SHARD_ROWS of them. In a
 shard, every point is inserted by a greedy search from the medoid whose visited points are pruned to DEGREE
 diverse edges (a candidate goes when a chosen edge is nearer to it by the factor ALPHA than the point is), and
-edges are made mutual and pruned again. A query goes to the PROBES nearest cells (to all, where there are no
-more) and runs a beam search of width BEAM in each; what it finds is scored exactly in double precision, and the
-k best over its shards are its result. Points of a step are searched together, so the work is in array products.
+edges are made mutual and pruned again. A query goes to the PROBES nearest cells and to every other cell that can
+hold one of its k nearest: the k-th best similarity among the sample is a bound from below, and a cell whose
+farthest vector's angle to the centroid leaves all of it below that bound is passed by, so no neighbour is lost
+by the choice of cells. It runs a beam search of width BEAM in each; what it finds is scored exactly in double
+precision, and the k best over its shards are its result. Points of a step are searched together, so the work is
+in array products.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold a null or a non-finite
 component take no part, neither as queries nor as candidates; ties go to the smaller id; rows of one id are
@@ -32,6 +35,8 @@ CENTROID_SAMPLE, CENTROIDS_MOST = 8192, 1024
 PROBES = 8
 DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 64, 48, 1.2
 STEP = 512
+#: Added to angles against rounding.
+SLACK = 1e-6
 
 
 # -- graph -------------------------------------------------------------------------------------------------------
@@ -194,22 +199,50 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     distinct = store.cut(rows.mapInArrow(draw_together, "vec binary, ids array<long>").groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")))
     total = distinct.count()
     cells = max(1, min(CENTROIDS_MOST, -(-total // SHARD_ROWS)))
-    sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(CENTROID_SAMPLE).toArrow()
+    sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(CENTROID_SAMPLE).toArrow()
     centre = spark.sparkContext.broadcast(centroids(_matrix(sample["vec"], dim), cells).astype(np.float32))
+    # the sample's vectors with the id of those that have one alone
+    sole = np.array([i[0] if len(i) == 1 else -1 for i in sample["ids"].to_pylist()], np.int64), np.array([len(i) == 1 for i in sample["ids"].to_pylist()], bool)
+    known = spark.sparkContext.broadcast((_matrix(sample["vec"], dim).astype(np.float32), *sole))
 
-    def to_cells(probes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = centre.value
-            for batch in batches:
-                unit = _unit(_matrix(batch.column(0), dim)).astype(np.float32)
-                p = min(probes, len(c))
-                near = np.argsort(-(unit @ c.T), 1, kind="stable")[:, :p].astype(np.int32)
-                pick = pa.array(np.repeat(np.arange(len(unit)), p))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(near.ravel())], ["vec", "ids", "cell"])
+    def angles(unit: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(unit @ _unit(centre.value.astype(np.float64)).T, -1, 1))
 
-        return run
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(0), dim))
+            for b in range(0, len(unit), STEP):
+                away = angles(unit[b : b + STEP])
+                near = away.argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, STEP), batch.column(1).slice(b, STEP), pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(near)), near])], ["vec", "ids", "cell", "away"])
+
+    placed = store.cut(distinct.mapInArrow(place, "vec binary, ids array<long>, cell int, away double"))
+    # CENTROIDS_MOST rows at most; a cell without vectors is in reach of none
+    reach = np.full(cells, -np.inf)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("away")).collect():
+        reach[r["cell"]] = r["away"]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, owner, alone = known.value
+        vectors = _unit(vectors.astype(np.float64))
+        for batch in batches:
+            unit, name = _unit(_matrix(batch.column(0), dim)), np.array([i[0] for i in batch.column(1).to_pylist()], np.int64)
+            for b in range(0, len(unit), STEP):
+                q = unit[b : b + STEP]
+                away = angles(q)
+                go = np.isfinite(reach)[None] & (np.argsort(np.argsort(away, 1, kind="stable"), 1, kind="stable") < PROBES)
+                if len(vectors) > keep:
+                    s = q @ vectors.T
+                    s[(s > 1 - SLACK) | alone & (owner == name[b : b + STEP, None])] = -1  # itself, or of its own id
+                    bound = np.arccos(np.clip(np.partition(s, -k, 1)[:, -k], -1, 1))
+                    go |= away - reach <= bound[:, None] + SLACK
+                else:
+                    go |= np.isfinite(reach)[None]
+                row, cell = np.nonzero(go)
+                for c in range(0, len(row), SHARD_ROWS):
+                    pick = pa.array(b + row[c : c + SHARD_ROWS])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(cell[c : c + SHARD_ROWS].astype(np.int32))], ["vec", "ids", "cell"])
 
-    placed = store.cut(distinct.mapInArrow(to_cells(1), "vec binary, ids array<long>, cell int"))
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("parts"))
     # every id that is a query, with its vector: a hot vector brings each of its ids, a row each
     asked = rows.filter(is_query).select(F.transform("v", lambda e: e + F.lit(0).cast("float")).alias("v"), "vec_id")
@@ -219,7 +252,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             x = np.asarray(batch.column(0).flatten(), dtype=np.float32).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array([[i] for i in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["vec", "ids"])
 
-    asked = asked.mapInArrow(to_bytes, "vec binary, ids array<long>").mapInArrow(to_cells(PROBES), "vec binary, ids array<long>, cell int")
+    asked = asked.mapInArrow(to_bytes, "vec binary, ids array<long>").mapInArrow(route, "vec binary, ids array<long>, cell int")
     points = placed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("part"), "vec", "ids", F.lit(False).alias("query"))
     asks = asked.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec", "ids", F.lit(True).alias("query"))
 
@@ -247,7 +280,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     found = points.unionByName(asks).groupBy("cell", "part").applyInArrow(shard, "query_id long, vec_id long, score double")
-    # at most k * PROBES (times the parts of a cell) rows of a query meet here
+    # at most k rows of each part of each cell that a query went to meet here
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score"))
 

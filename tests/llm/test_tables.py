@@ -222,6 +222,23 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 4.0])
+def test_nearest_with_many_more_cells_than_probes(spark, monkeypatch, spread):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    monkeypatch.setattr(ann, "CENTROID_SAMPLE", 1000)
+    g = np.random.default_rng(2)
+    x = (g.normal(size=(4000, 16)) + spread * g.normal(size=(40, 16))[np.arange(4000) % 40]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    d = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = d @ d[q]
+        s[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 400 and hits >= 0.9 * 400
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
