@@ -262,14 +262,6 @@ class Points:
         """Pairs that mapper makes of each point, grouped by key (a shuffle), and what reducer makes of a key and its values; None is dropped."""
         f = self._f
         names, cols = f._names, f._cols
-        sample = f._df.select(*cols).limit(20).collect()
-        pairs = [p for r in sample for p in mapper(Vector(r, names))]
-        if not pairs:
-            return f._with(f._df.limit(0).select(PID, F.lit(None).cast("double").alias("f0"), F.lit(None).cast("double").alias("f1")), [None, None])
-        kt, vt = _types_of(list(pairs[0]))
-        vt = T.DoubleType() if any(isinstance(v, float) for _, v in pairs) else vt
-        out = next((o for o in (reducer(k, [w for q, w in pairs if q == k]) for k, _ in pairs) if o is not None), pairs[0])
-        rk, rv = _types_of(list(out))
         item = lambda v: v.item() if hasattr(v, "item") else v
 
         def emit(batches):
@@ -277,18 +269,50 @@ class Points:
 
             for b in batches:
                 got = [(p, *kv) for p, r in zip(b[PID], b[cols].itertuples(index=False), strict=True) for kv in mapper(Vector([None if v is None or v != v else item(v) for v in r], names))]
-                yield pd.DataFrame(got, columns=["pid", "k", "v"])
+                yield pd.DataFrame(got, columns=["pid", "k", "v"], dtype=object)
+
+        def reduced_to(pdf):
+            pdf = pdf.sort_values("pid", kind="stable")
+            return pdf.pid.iloc[0], reducer(item(pdf.k.iloc[0]), [item(v) for v in pdf.v])
 
         def fold(pdf):
             import pandas as pd
 
-            pdf = pdf.sort_values("pid", kind="stable")
-            got = reducer(item(pdf.k.iloc[0]), [item(v) for v in pdf.v])
-            return pd.DataFrame([] if got is None else [(pdf.pid.iloc[0], *got)], columns=[PID, "f0", "f1"])
+            pid, got = reduced_to(pdf)
+            return pd.DataFrame([] if got is None else [(pid, *got)], columns=[PID, "f0", "f1"])
+
+        def kinds_of(pairs):
+            """The types that occur, each once."""
+            import pandas as pd
 
+            found = {(at, _types_of([item(v)])[0].simpleString()) for pair in pairs for at, v in enumerate(pair) if v is not None and v == v}
+            return pd.DataFrame(sorted(found), columns=["at", "kind"])
+
+        def agreed(df):
+            """Types of key and value that hold all of df's; None without rows."""
+            found = [set(), set()]
+            for r in df.distinct().collect():
+                found[r["at"]].add(r["kind"])
+            if not any(found):
+                return None
+            numbers = {"bigint", "double", "boolean"}
+            mixed = [k for k in found if len(k) > 1 and not k <= numbers]
+            if mixed:
+                raise InvalidArgumentValue(f"keys, and values, must be of one type: {sorted(mixed[0])}")
+            return [T.DoubleType() if len(k) != 1 else T.DataType.fromDDL(next(iter(k))) for k in found]
+
+        none = f._with(f._df.limit(0).select(PID, F.lit(None).cast("double").alias("f0"), F.lit(None).cast("double").alias("f1")), [None, None])
+        # types are those of all pairs, wherever they are
+        types = agreed(f._df.select(PID, *cols).mapInPandas(lambda batches: (kinds_of(b[["k", "v"]].itertuples(index=False)) for b in emit(batches)), "at int, kind string"))
+        if types is None:
+            return none
+        kt, vt = types
         schema = T.StructType([T.StructField("pid", T.LongType()), T.StructField("k", kt), T.StructField("v", vt)])
-        result = T.StructType([T.StructField(PID, T.LongType()), T.StructField("f0", rk), T.StructField("f1", rv)])
         mapped = f._df.select(PID, *cols).mapInPandas(emit, schema)
+        types = agreed(mapped.groupBy("k").applyInPandas(lambda pdf: kinds_of([got] if (got := reduced_to(pdf)[1]) is not None else []), "at int, kind string"))
+        if types is None:
+            return none
+        result = T.StructType([T.StructField(PID, T.LongType()), T.StructField("f0", types[0]), T.StructField("f1", types[1])])
         reduced = mapped.groupBy("k").applyInPandas(fold, result)
         # keys of one first point have one place; they are told apart by the key
         n = reduced.count()

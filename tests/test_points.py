@@ -20,6 +20,20 @@ def test_map_reduce():
     assert rows(got) == [[1, 5], [4, 11], [7, 17]]
 
 
+def test_map_reduce_of_pairs_that_come_late():
+    f = lf.data([[i, i % 3] for i in range(500)])
+    total = lambda k, v: (k, sum(v))
+    assert rows(f.points.mapReduce(lambda p: [(p[1], p[0])] if p[0] >= 400 else [], total)) == [[1, sum(range(400, 500, 3))], [2, sum(range(401, 500, 3))], [0, sum(range(402, 500, 3))]]
+    # a float only after many whole numbers, in the values and in what is reduced
+    got = rows(f.points.mapReduce(lambda p: [(p[1], p[0] + 0.5 if p[0] == 450 else p[0])], total))
+    assert got == [[k, sum(range(k, 500, 3)) + (0.5 if k == 0 else 0)] for k in range(3)]
+    got = rows(f.points.mapReduce(lambda p: [(p[1], p[0])], lambda k, v: (k, len(v) / 2 if k == 2 else 1) if k else None))
+    assert got == [[1, 1], [2, 83.0]]
+    got = rows(f.points.mapReduce(lambda p: [(p[1], None if p[0] == 4 else p[0])], lambda k, v: (k, len(v))))
+    assert got == [[0, 167], [1, 167], [2, 166]]
+    assert rows(f.points.mapReduce(lambda p: [], total)) == [] and rows(f.points.mapReduce(lambda p: [(p[1], 1)], lambda k, v: None)) == []
+
+
 def test_targets():
     f = grid(pointNames=["a", "b", "c"])
     assert rows(f.points.copy("three > 3")) == GRID[1:]
