@@ -251,7 +251,8 @@ class WordBpe:
         sym = self.inner[raw].tolist()
         sym[-1] = int(self.last[raw[-1]])
         w = 1 << (n - 1).bit_length()
-        pairs, size, none = self.pairs, self.size, int(NONE)
+        pairs, size = self.pairs, self.size
+        none = len(self._by_rank) * w  # above every key, which are not of 32 bits here
         right, left = [*range(1, n), -1], [*range(-1, n - 1)]
         tree = [none] * (2 * w)
 

@@ -37,6 +37,16 @@ def test_bpe_is_the_library():
     assert mine.encode([])[1].tolist() == [0] and mine.encode([None, ""])[1].tolist() == [0, 0, 0]
 
 
+@pytest.mark.parametrize("n", [40_000, 140_000, 1_000_000])
+def test_bpe_of_very_long_words_is_the_library(n):
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    text = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    ids, _ = bpe.word_bpe(bpe.default_path()).encode([text])
+    assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts_are_the_library():
     c = tokencount.counter(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [*mixed(2000, 40, 2), "", None, "word " * 2000, " lead", "trail "]
