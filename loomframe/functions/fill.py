@@ -95,13 +95,14 @@ def directional(df: DataFrame, pid: str, column: str, hit: Column, kind: str, ro
     before and after it is the last and first unmatched value of other lots, a table of one row for each lot."""
     base = df.withColumn("__hit", hit).withColumn("__lot", F.floor(F.col(pid) / lot).cast("long"))
     known = F.when(~F.col("__hit"), F.struct(F.col(pid).alias("p"), F.col(column).cast("double" if kind == "interpolate" else df.schema[column].dataType).alias("v")))
-    inner = Window.partitionBy("__lot").orderBy(pid)
-    base = base.withColumn("__prev", F.last(known, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    base = base.withColumn("__next", F.first(known, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)))
+    # looking ahead is looking back in the reversed order: a frame that grows is kept, one that shrinks is read anew for each row
+    ahead, back = Window.partitionBy("__lot").orderBy(F.desc(pid)), Window.partitionBy("__lot").orderBy(pid)
+    base = base.withColumn("__prev", F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    base = base.withColumn("__next", F.last(known, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     if rows > lot:
         lots = base.groupBy("__lot").agg(F.max(known).alias("last"), F.min(known).alias("first"))
-        order = Window.partitionBy(F.lit(0)).orderBy("__lot")
-        edges = lots.select("__lot", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+        up, down = (Window.partitionBy(F.lit(0)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__lot"), F.desc("__lot")))
+        edges = lots.select("__lot", F.last("last", ignorenulls=True).over(up).alias("__before"), F.last("first", ignorenulls=True).over(down).alias("__after"))
         base = base.join(edges, "__lot").withColumn("__prev", F.coalesce("__prev", "__before")).withColumn("__next", F.coalesce("__next", "__after")).drop("__before", "__after")
     prev, nxt = F.col("__prev"), F.col("__next")
     if kind == "forwardFill":
