@@ -38,6 +38,27 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         begin = end
 
 
+def white_pieces(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Consecutive parts of UTF-8 of about `most` bytes, each but the first beginning with ASCII white space after something else."""
+    begin, n = 0, len(raw)
+    while n - begin > most:
+        cut = -1
+        for low, high in ((begin + most // 2, begin + most), (begin + most, n)):
+            at, step = low, most // 2
+            while cut < 0 and at < high:  # looked for in steps, so that no copy is longer than one
+                part = raw[at - 1 : min(at + step, high)]
+                white = (part == 0x20) | (part == 0x0A)
+                found = np.flatnonzero(white[1:] & ~white[:-1])
+                if len(found):
+                    cut = at + int(found[-1] if high == begin + most else found[0])
+                at += step
+        if cut < 0:
+            break
+        yield raw[begin:cut]
+        begin = cut
+    yield raw[begin:]
+
+
 def string_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A string array over existing bytes, without a copy of the bytes."""
     return pa.Array.from_buffers(kind or pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -9,8 +9,14 @@ The trees of many distinct words stand beside each other in arrays and take thei
 longer than LONG_WORD takes the same steps alone. Each distinct word of a batch is encoded once, and a bounded
 table keeps the ids of words already seen by the worker.
 
-Defined results: a null or empty text has no ids, the decoded text of no ids is empty; repeated rows are
-each encoded; columns other than the id and the text are not read, so their names cannot clash.
+A long text is encoded piece by piece, cut before white space, and its digests are carried along; a single
+word without end is one tree, of about 30 bytes for each of its own. Letters, digits and forms of characters are
+those of this Python's Unicode; characters that it does not know, and marks that are not in normal order, are
+decided by the library's normalizer and splitter, whose tables are of other versions.
+
+Defined results: a null or empty text has no ids, the decoded text of no ids is empty; an empty table gives no
+rows; ties of rank go to the leftmost pair; repeated rows are each encoded; ids may be null; columns other than the
+id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.arrowtext import segment_sums, slices, spans_gather, string_array, string_buffers
+from loomframe.llm.arrowtext import segment_sums, slices, spans_gather, string_array, string_buffers, white_pieces
 
 #: Words of more symbols than this walk their tree one at a time.
 LONG_WORD = 256
@@ -45,22 +52,36 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENDINGS = [(ord("s"), 0), (ord("t"), 0), (ord("r"), ord("e")), (ord("v"), ord("e")), (ord("m"), 0), (ord("l"), ord("l")), (ord("d"), 0)]
 SPACE_POINTS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-SPACE, LETTER, DIGIT, OTHER, INSIDE = range(5)
+SPACE, LETTER, DIGIT, OTHER, INSIDE, UNKNOWN = range(6)
 
 
 @lru_cache(maxsize=1)
 def unicode_kinds() -> np.ndarray:
-    """The kind of every code point."""
+    """The kind of every code point that this Python knows; of others (unassigned here, but perhaps not in the library) UNKNOWN."""
     kinds = np.full(0x110000, OTHER, np.uint8)
     group = {"L": LETTER, "N": DIGIT}
     for p in range(0x110000):
-        k = group.get(unicodedata.category(chr(p))[0])
-        if k:
-            kinds[p] = k
+        category = unicodedata.category(chr(p))
+        if category == "Cn":
+            kinds[p] = UNKNOWN
+        elif category[0] in group:
+            kinds[p] = group[category[0]]
     kinds[SPACE_POINTS] = SPACE
     return kinds
 
 
+def lead_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where characters beyond ASCII begin in UTF-8, their bytes and their code points."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int64)
+    size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+    point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07))
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | (data[lead[more] + k] & 0x3F)
+    return lead, size, point
+
+
 def _ascii_kinds() -> np.ndarray:
     kinds = np.full(256, OTHER, np.uint8)
     for p in range(128):
@@ -89,8 +110,13 @@ class WordBpe:
     """The vocabulary of a tokenizer file whose words end in a suffix, and the kernels over it."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # its normalizer and word splitter decide on what differs between versions of Unicode; it encodes nothing here
+        self.library = Tokenizer.from_file(path)
+        self.found_kinds: dict[int, int] = {}
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -248,13 +274,14 @@ class WordBpe:
 
     def _merge_long(self, raw: np.ndarray) -> np.ndarray:
         n = len(raw)
-        sym = self.inner[raw].tolist()
+        sym = array("i", self.inner[raw].tobytes())
         sym[-1] = int(self.last[raw[-1]])
         w = 1 << (n - 1).bit_length()
         pairs, size = self.pairs, self.size
         none = len(self._by_rank) * w  # above every key, which are not of 32 bits here
-        right, left = [*range(1, n), -1], [*range(-1, n - 1)]
-        tree = [none] * (2 * w)
+        right, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        right[-1] = -1
+        tree = array("q", [none]) * (2 * w)
 
         def key(p: int) -> int:
             r = right[p]
@@ -295,24 +322,41 @@ class WordBpe:
     def normalize(self, text: str) -> str:
         """As the file's normalizer: NFC, white space to spaces, lower case by character. Runs of spaces stay: they end words all the same."""
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+            if not unicodedata.is_normalized("NFC", text):  # the library's tables of marks are of another version
+                return self.library.normalizer.normalize_str(text)
             if "\u03a3" in text:  # str.lower() would take the word's end into account
                 text = text.replace("\u03a3", "\u03c3")
         return text.lower()
 
+    def _kind(self, point: int) -> int:
+        """The kind that the library gives a code point, seen from how it splits it between a letter and a mark."""
+        if point not in self.found_kinds:
+            spans = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(f"a{chr(point)}!")]
+            self.found_kinds[point] = LETTER if spans[0] == (0, 2) else DIGIT if len(spans) == 3 else OTHER if spans[-1] == (1, 3) else SPACE
+        return self.found_kinds[point]
+
+    def _normalized(self, parts: list[str]) -> list[bytes]:
+        """Normalized UTF-8 of each part; what holds characters that this Python does not know is left to the library."""
+        blob = [self.normalize(p).encode() for p in parts]
+        data = np.frombuffer(b"".join(blob), np.uint8)
+        lead, _, point = lead_points(data)
+        if len(lead):
+            strange = lead[unicode_kinds()[point] == UNKNOWN]
+            if len(strange):
+                ends = np.cumsum(np.fromiter(map(len, blob), np.int64, len(blob)))
+                for i in np.unique(np.searchsorted(ends, strange, "right")).tolist():
+                    blob[i] = self.library.normalizer.normalize_str(parts[i]).encode()
+        return blob
+
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words in normalized UTF-8 (contractions, runs of letters, single digits, runs of other characters): begins, ends, all their bytes."""
         kind = ASCII_KINDS[data]
-        lead = np.flatnonzero(data >= 0xC0)
+        lead, size, point = lead_points(data)
         if len(lead):
-            first = data[lead].astype(np.int64)
-            size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
-            point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07))
-            for k in range(1, 4):
-                more = size > k
-                point[more] = point[more] << 6 | (data[lead[more] + k] & 0x3F)
             found = unicode_kinds()[point]
+            strange = found == UNKNOWN
+            if strange.any():
+                found[strange] = [self._kind(p) for p in point[strange].tolist()]
             kind[lead] = found
             for k in range(1, 4):
                 more = size > k
@@ -375,19 +419,19 @@ class WordBpe:
                 at = 0
                 for m in special.finditer(t):
                     if m.start() > at:
-                        parts.append(self.normalize(t[at : m.start()]))
+                        parts.append(t[at : m.start()])
                         owner.append(i)
                     marks.append((len(parts), self.special[m[0]]))
                     parts.append("")
                     owner.append(i)
                     at = m.end()
                 if at < len(t):
-                    parts.append(self.normalize(t[at:]))
+                    parts.append(t[at:])
                     owner.append(i)
             else:
-                parts.append(self.normalize(t))
+                parts.append(t)
                 owner.append(i)
-        blob = [p.encode() for p in parts]
+        blob = self._normalized(parts)
         if not blob:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(b" ".join(blob) + b" ", np.uint8)
@@ -413,6 +457,11 @@ class WordBpe:
         per_text = np.bincount(np.array(owner, np.int64), weights=per_part, minlength=len(texts)).astype(np.int64)
         return out.astype(np.uint32, copy=False), np.concatenate([[0], np.cumsum(per_text)])
 
+    def encode_pieces(self, raw: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of one long text (UTF-8), piece by piece: pieces begin at white space, which no word and no special string crosses."""
+        for piece in white_pieces(raw, SLICE_BYTES):
+            yield self.encode([piece.tobytes().decode()])[0]
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text joined by a space: bytes and (begin, end) of each text in them."""
         size = self.token_len[ids]
@@ -433,6 +482,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def long_digest(bpe: WordBpe, part: pa.RecordBatch) -> pa.RecordBatch:
+    """The row of one long text, of which no more than a piece is held in any other form."""
+    n, of_ids, of_text, begun = 0, hashlib.sha256(), hashlib.sha256(), False
+    for ids in bpe.encode_pieces(string_buffers(part.column(1))[0]):
+        if len(ids):
+            text, spans = bpe.decode(ids, np.array([0, len(ids)]))
+            of_text.update((b" " if begun else b"") + text[spans[0, 0] : spans[0, 1]].tobytes())
+            of_ids.update(ids.astype("<u4").tobytes())
+            n, begun = n + len(ids), True
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array([n]), pa.array([of_ids.hexdigest()]), pa.array([of_text.hexdigest()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Token ids and decoded text of each row, as digests, or with keep_ids as columns `ids` and `decoded` too.
 
@@ -446,6 +507,9 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = word_bpe(path)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
+                if part.num_rows == 1 and part.nbytes > 2 * SLICE_BYTES and not keep_ids:
+                    yield long_digest(bpe, part)
+                    continue
                 ids, off = bpe.encode(part.column(1).to_pylist())
                 text, spans = bpe.decode(ids, off)
                 raw, blob = ids.astype("<u4").tobytes(), text.tobytes()

@@ -8,9 +8,10 @@ items; where even the last rounds leave more, they are spread over as many tasks
 grows with the corpus. Members travel as descriptions (document, piece, start, length, checksum); with
 keep_ids their ids travel too.
 
-Defined results: a null or empty text is one piece that holds the end id alone; rows with the same id are
-packed each on its own; an empty table gives no rows; columns other than the id and the text are not read,
-so their names cannot clash.
+Defined results: a null or empty text is one piece that holds the end id alone; a very long text is encoded piece
+by piece and cut into full sequences; items of one size are packed in the order that they come in; rows with the
+same id, or none, are packed each on its own; an empty table gives no rows; columns other than the id and the
+text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.arrowtext import slices
+from loomframe.llm.arrowtext import slices, string_buffers
 from loomframe.llm.bpe import SLICE_BYTES, default_path, word_bpe
 from loomframe.llm.shared import Shared
 
@@ -105,7 +106,12 @@ def _pack_partition(capacity: int):
 
 def token_pieces(batch: pa.RecordBatch, path: str, capacity: int, end_id: int, keep_ids: bool) -> pa.RecordBatch:
     """Each piece of the batch's documents as an item with one member."""
-    ids, off = word_bpe(path).encode(batch.column(1).to_pylist())
+    bpe = word_bpe(path)
+    if batch.num_rows == 1 and batch.nbytes > 2 * SLICE_BYTES:
+        ids = np.concatenate(list(bpe.encode_pieces(string_buffers(batch.column(1))[0])))
+        off = np.array([0, len(ids)])
+    else:
+        ids, off = bpe.encode(batch.column(1).to_pylist())
     ids = np.insert(ids, off[1:], np.uint32(end_id)).astype("<u4")
     off = off + np.arange(len(off))
     length = np.diff(off)

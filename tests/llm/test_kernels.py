@@ -1,6 +1,8 @@
 """Kernels against the libraries, brute force and exact round trips; no tables."""
 
+import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -47,6 +49,37 @@ def test_bpe_of_very_long_words_is_the_library(n):
     assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def library_ids(texts):
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_of_every_character_is_the_library():
+    mine, points = bpe.word_bpe(bpe.default_path()), [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(f"a{chr(p)}a {chr(p)}{chr(p)}! " for p in points[i : i + 64]) for i in range(0, len(points), 64)]
+    marks = [p for p in points if unicodedata.combining(chr(p))]
+    texts += [f"a{chr(p)}{x}b a{x}{chr(p)}b" for p in marks for x in "\u0316\u0301\u0327\u0345"]
+    texts += [unicodedata.normalize("NFD", chr(p)) for p in points if unicodedata.decomposition(chr(p))]
+    ids, off = mine.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == library_ids(texts)
+
+
+def test_bpe_in_pieces_is_the_library(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 512)
+    mine = bpe.word_bpe(bpe.default_path())
+    for text in [" ".join(mixed(900, 20, 7)), "word\n" * 3000, "x" * 5000 + " y" * 900, "\n" * 4000 + "é" * 2000]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        parts = list(arrowtext.white_pieces(raw, 512))
+        assert b"".join(p.tobytes() for p in parts) == text.encode() and (len(parts) > 3 or "x" not in text)
+        want = library_ids([text])[0]
+        assert np.concatenate(list(mine.encode_pieces(raw))).tolist() == want
+        row = bpe.long_digest(mine, pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])).to_pylist()[0]
+        decoded = Tokenizer.from_file(bpe.default_path()).decode(want, skip_special_tokens=False)
+        assert row == {"doc_id": 1, "n_tokens": len(want), "ids_sha256": hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
+
+
 def test_token_counts_are_the_library():
     c = tokencount.counter(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [*mixed(2000, 40, 2), "", None, "word " * 2000, " lead", "trail "]
