@@ -1,21 +1,26 @@
 """Operator 3: personal data by candidate gradient boosting, in DataFrame functions only.
 
 Generators of high recall propose spans: e-mail addresses plain and spelt out, dotted numbers, digit runs, phone
-numbers with and without a country code, and secrets after a key word. Spans of the base rules (see BASE)
-always stay. Every other candidate gets features of its format (length, digits, separators, checksum, distinct
-characters) and of its context (characters and key words around it); boosted trees score it, a logistic
+numbers with and without a country code, dotted numbers in brackets, and secrets after a key word. Spans of the
+base rules (see BASE) always stay. Other candidates of the generators in SCORED get features of their format
+(length, digits, separators, checksum, distinct characters) and of its context (characters and key words around it); boosted trees score it, a logistic
 calibration turns the score into a probability, and a threshold per generator selects the spans to add.
 
 Trees are fitted in the driver on examples that `training_examples` writes from rules with a fixed seed (they
 hold no row of any table), their features computed by the same expressions, and compiled into conditional
-expressions. On executors there is no Python and no shuffle: a row is split at the matches of each pattern, and
-positions are sums of the lengths of pieces, taken in lots so that the work stays linear in the matches.
+expressions. The tables have no labels for personal data, so what the trees know is what those rules say. On
+executors there is no Python and no shuffle: a row is split at the matches of each pattern, and positions are sums
+of the lengths of pieces, taken by lots; what functions of elements read is a column or zipped with the elements,
+never an expression that each would compute anew, so the work is about linear in the matches.
 
 Patterns are written so that Java's matcher neither recurses nor rescans a run: repetition of groups is
 possessive where no match needs to give back, and a match begins at the start of a run or where the last ended.
 
-Defined results: a null or empty text has no spans; repeated rows are each searched; other columns are not
-read unless redact() carries them, which replaces the text alone. Spans may overlap; redact() joins those that do.
+Defined results: a null or empty text has no spans; a very long text is searched whole, in memory of some times
+its size; an empty table gives no rows; candidates of one place and kind are each listed once for each generator
+that proposes them, base ones first; repeated rows are each searched; other columns are not read unless redact()
+carries them, which replaces the text alone and takes names for its own columns that df has not. Spans may
+overlap; redact() joins those that do, as the kind of the first.
 """
 
 from __future__ import annotations
@@ -43,10 +48,15 @@ GENERATORS: list[tuple[str, str, str]] = [
     ("phone", r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])", r"[0-9][\x20.-][0-9]{4}"),
     ("secret", r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,256}[\"']?", r"[=:](?<=(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)\s{0,3}[=:])"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", r"A[KS]IA[A-Z0-9]{16}"),
+    ("ip", r"(?<![0-9])[0-9]{1,4}+(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,4}+){3}+", r"[0-9] ?[\[(](?:\.|dot)[\])] ?[0-9]"),
 ]
+#: Generators whose candidates beyond the base rules can be right; of the others only base spans are taken.
+SCORED = [2, 3, 4, 5, 6, 7, 8]
 CONTEXT = 32
 LOT = 128
-FEATURES = ["generator", "length", "digits", "marks", "upper", "lower", "distinct", "luhn", "groups", "longest", "before", "after", "hint", "against"]
+#: Characters of the parts that a text is cut into where spans of it are replaced.
+CHUNK = 1024
+FEATURES = ["generator", "length", "digits", "marks", "upper", "lower", "distinct", "luhn", "groups", "longest", "largest", "before", "after", "hint", "against"]
 HINTS = r"(?i)phone|tel|call|mobile|fax|mail|contact|card|visa|credit|payment|password|login|token|secret|key|address|host"
 AGAINST = r"(?i)version|isbn|issn|order|invoice|serial|part|page|date|doi|figure|table|[0-9+][\x20().-]*$"
 
@@ -54,14 +64,23 @@ AGAINST = r"(?i)version|isbn|issn|order|invoice|serial|part|page|date|doi|figure
 # -- spans -----------------------------------------------------------------------------------------------------
 
 
-def _prefix(values: Column) -> Column:
-    """Sum of the values before each element, in lots of LOT."""
-    n = F.size(values)
+def _before(values: Column, join) -> Column:
+    """What `join` (a sum, or a maximum; from 0) makes of the values before each element, by lots: of what comes before a lot once for each, of
+    what comes before an element within its lot. `values` must be a column, not an expression: functions of elements read it."""
     zero = F.lit(0).cast("long")
-    add = lambda a, x: a + x
-    lots = F.transform(F.sequence(F.lit(0), F.ceil(n / LOT).cast("int")), lambda b: F.aggregate(F.slice(values, b * LOT + 1, LOT), zero, add))
-    heads = F.transform(lots, lambda _, b: F.aggregate(F.slice(lots, 1, b), zero, add))
-    return F.transform(values, lambda _, i: F.element_at(heads, (F.floor(i / LOT) + 1).cast("int")) + F.aggregate(F.slice(values, (F.floor(i / LOT) * LOT + 1).cast("int"), i % LOT), zero, add))
+    lots = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / LOT).cast("int"))).otherwise(F.array().cast("array<int>"))
+    totals = F.transform(lots, lambda b: F.aggregate(F.slice(values, b * LOT + 1, LOT), zero, join))
+    start = F.struct(zero.alias("all"), F.array().cast("array<bigint>").alias("heads"))
+    heads = F.aggregate(totals, start, lambda a, n: F.struct(join(a["all"], n).alias("all"), F.concat(a["heads"], F.array(a["all"])).alias("heads")), lambda a: a["heads"])
+    of_lot = lambda z: F.transform(F.slice(values, z["lot"] * LOT + 1, LOT), lambda n, i: F.aggregate(F.slice(values, z["lot"] * LOT + 1, i), z["head"], join))
+    return F.flatten(F.transform(F.arrays_zip(heads.alias("head"), lots.alias("lot")), of_lot))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A prefix that no column of df begins with."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
 
 
 def _digits(m: Column) -> Column:
@@ -88,6 +107,7 @@ def _features(generator: Column, m: Column, before: Column, after: Column) -> li
     out = [
         generator, F.length(m), left("[^0-9]"), left("[A-Za-z0-9]"), left("[^A-Z]"), left("[^a-z]"), F.size(F.array_distinct(F.split(F.left(m, F.lit(64)), ""))),
         F.call_function("luhn_check", _digits(m)).cast("double"), F.size(groups), F.aggregate(groups, F.lit(0), lambda a, g: F.greatest(a, F.length(g))),
+        F.aggregate(groups, F.lit(0.0).cast("double"), lambda a, g: F.when(g.rlike("^[0-9]{1,4}$"), F.greatest(a, g.cast("double"))).otherwise(a)),
         edge(F.right(before, F.lit(1))), edge(F.left(after, F.lit(1))), before.rlike(HINTS).cast("double"), before.rlike(AGAINST).cast("double"),
     ]
     return [F.coalesce(c.cast("double"), F.lit(0.0)) for c in out]
@@ -102,22 +122,27 @@ def _candidates(text: Column, generator: int) -> Column:
     return F.struct(pieces.alias("pieces"), matches.alias("matches"))
 
 
-def _spans(found: Column, generator: int) -> Column:
+def _sizes(found: Column) -> Column:
+    """Characters of each match and of the piece before it. An array named in a function of elements would be made anew for each, so all are zipped."""
+    return F.transform(F.arrays_zip(F.slice(found["pieces"], 1, F.size(found["matches"])).alias("piece"), found["matches"].alias("m")), lambda z: (F.length(z["piece"]) + F.length(z["m"])).cast("long"))
+
+
+def _spans(found: Column, sizes: Column, generator: int) -> Column:
     """Of each match: kind, start, end (code points), if a base rule takes it, the match, and what is around it."""
     pieces, matches = found["pieces"], found["matches"]
-    sizes = F.transform(matches, lambda m, i: (F.length(F.element_at(pieces, i + 1)) + F.length(m)).cast("long"))
-    begins = _prefix(sizes)
+    n = F.size(matches)
+    zipped = F.arrays_zip(matches.alias("m"), _before(sizes, lambda a, n: a + n).alias("begin"), sizes.alias("size"), F.slice(pieces, 1, n).alias("left"), F.slice(pieces, 2, n).alias("right"))
     return F.transform(
-        matches,
-        lambda m, i: F.struct(
+        zipped,
+        lambda z: F.struct(
             F.lit(KINDS.index(GENERATORS[generator][0])).alias("kind"),
-            (F.element_at(begins, i + 1) + F.length(F.element_at(pieces, i + 1))).cast("long").alias("start"),
-            (F.element_at(begins, i + 1) + F.element_at(sizes, i + 1)).cast("long").alias("end"),
-            _is_base(generator, m).alias("base"),
+            (z["begin"] + F.length(z["left"])).cast("long").alias("start"),
+            (z["begin"] + z["size"]).cast("long").alias("end"),
+            _is_base(generator, z["m"]).alias("base"),
             F.lit(generator).alias("generator"),
-            m.alias("m"),
-            F.right(F.element_at(pieces, i + 1), F.lit(CONTEXT)).alias("before"),
-            F.left(F.element_at(pieces, i + 2), F.lit(CONTEXT)).alias("after"),
+            z["m"].alias("m"),
+            F.right(z["left"], F.lit(CONTEXT)).alias("before"),
+            F.left(z["right"], F.lit(CONTEXT)).alias("after"),
         ),
     )
 
@@ -133,30 +158,34 @@ def training_examples(seed: int = 7, each: int = 160) -> list[tuple[int, str, st
     code = lambda n, of="0123456789abcdef": "".join(r.choice(of) for _ in range(n))
     prose = lambda: f"{word()} {word()} {r.choice(['in', 'of', 'and', word()])} "
     ask = lambda *keys: f"{word()} {r.choice(keys)}{r.choice([': ', ' ', ' is '])}"
+    near = lambda: r.choice([prose(), f"{word()} {digits(r.randint(1, 4))} ", f"{word()}: "])
     out = []
     for _ in range(each):
         tail = r.choice([" ", ". ", ", "]) + word()
         host = f"{word()}{r.choice(['(dot)', ' [dot] '])}{r.choice(['com', 'org', 'net'])}"
-        wrong = r.randrange(4)
+        wrong, mark = r.randrange(4), r.choice(["[.]", "(.)", " [.] ", "[dot]", " (dot) "])
         out += [
-            (1, ".".join(str(r.randint(256, 999) if k == wrong else r.randint(0, 300)) for k in range(4)), r.choice([prose(), ask("version", "section", "host", word())]), tail, 0),
+            (8, mark.join(str(r.randint(0, 255)) for _ in range(4)), r.choice([near(), ask("host", "address", "server", word())]), tail, 1),
+            (8, mark.join(str(r.randint(256, 2024) if k == wrong else r.randint(0, 300)) for k in range(4)), r.choice([near(), ask("version", "section", "page", word())]), tail, 0),
             (2, " ".join([digits(4)] * 3 + [digits(4)]), ask("card", "visa", "credit card"), tail, 1),
             (2, digits(r.randint(1, 12)), prose(), tail, 0),
             (2, digits(r.randint(13, 24)), r.choice([prose(), ask("order", "serial", "invoice", "isbn")]), tail, 0),
             (2, f"{r.randint(1900, 2100)}-{digits(2)}-{digits(2)} {digits(2)}", ask("date", word()), tail, 0),
-            (3, f"+{digits(2)}", prose(), tail, 0),
+            (3, f"+{digits(r.randint(1, 2))}{r.choice(' -')}{digits(3)}{r.choice(' -.')}{digits(r.randint(3, 4))}"[:11], ask("call", "phone", "tel", "mobile", "fax"), tail, 1),
+            (3, f"+{digits(r.randint(2, 8))}", r.choice([prose(), ask("version", "table", "about")]), tail, 0),
+            (3, f"+{digits(1)}{r.choice('. ')}{digits(r.randint(2, 5))}", r.choice([prose(), f"{word()} {digits(2)}"]), tail, 0),
             (3, f"+{digits(r.randint(16, 30))}", prose(), tail, 0),
-            (4, f"{word()}{r.choice(['(at)', ' [at] '])}{host}", r.choice([prose(), ask("mail", "contact")]), tail, 1),
+            (4, f"{word()}{r.choice(['(at)', ' [at] '])}{host}", r.choice([near(), ask("mail", "contact")]), tail, 1),
             (4, f"{word(1, 2)} (at){word(1, 2)}(dot){word(9, 12)}", ask("table", "figure"), tail, 0),
             (5, f"({digits(3)}) {digits(3)}-{digits(4)}", r.choice([prose(), ask("call", "phone", "tel")]), tail, 1),
             (5, f"{digits(3)}{(s := r.choice('-. '))}{digits(3)}{s}{digits(4)}", ask("call", "phone", "fax", "mobile"), tail, 1),
             (5, f"{digits(3)}{r.choice('-. ')}{digits(3)}{r.choice('-. ')}{digits(4)}", r.choice([ask("order", "isbn", "part"), f"{word()} +{digits(1)} ", f"{word()} {digits(2)} "]), tail, 0),
-            (6, f"{r.choice(['password', 'pwd', 'passwd'])}={code(r.randint(8, 24))}", prose(), tail, 1),
-            (6, f'{r.choice(["token", "secret", "api_key"])} = "{code(r.choice([20, 32, 40]))}"', prose(), tail, 1),
-            (6, f"{r.choice(['password', 'token', 'secret'])}: {word(6, 12)}", prose(), tail, 0),
-            (6, f"{r.choice(['token', 'secret'])} = {word(6, 12)}", prose(), tail, 0),
-            (7, f"AKIA{code(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}", prose(), tail, 1),
-            (7, f"A{r.choice(['KIA', 'SIA'])}{r.choice('ABCDEF') * 16}", prose(), tail, 0),
+            (6, f"{r.choice(['password', 'pwd', 'passwd'])}={code(r.randint(8, 24))}", near(), tail, 1),
+            (6, f'{r.choice(["token", "secret", "api_key"])} = "{code(r.choice([20, 32, 40]))}"', near(), tail, 1),
+            (6, f"{r.choice(['password', 'token', 'secret'])}: {word(6, 12)}", near(), tail, 0),
+            (6, f"{r.choice(['token', 'secret'])} = {word(6, 12)}", near(), tail, 0),
+            (7, f"AKIA{code(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}", near(), tail, 1),
+            (7, f"A{r.choice(['KIA', 'SIA'])}{r.choice('ABCDEF') * 16}", near(), tail, 0),
         ]
     return out
 
@@ -232,17 +261,18 @@ class Model:
         feats = F.array(*_features(F.col("generator"), F.col("m"), F.col("before"), F.col("after")))
         got = sorted(rows.select("i", feats.alias("f")).collect())
         x, y = np.array([r["f"] for r in got]), np.array([e[-1] for e in examples], float)
-        apart = np.arange(len(y)) * 4 // len(y) == 3
-        self.trees = fit_trees(x[~apart], y[~apart])
+        # trees, calibration and thresholds each see examples of their own
+        part = np.random.default_rng(1).choice(3, len(y), p=[0.6, 0.2, 0.2])
+        self.trees = fit_trees(x[part == 0], y[part == 0])
         score = sum(apply_tree(t, x) for t in self.trees)
-        self.slope, self.intercept = calibrate(score[apart], y[apart])
+        self.slope, self.intercept = calibrate(score[part == 1], y[part == 1])
         p = 1 / (1 + np.exp(-(self.slope * score + self.intercept)))
-        self.thresholds = []
-        for g in range(len(GENERATORS)):
-            mine = apart & (x[:, 0] == g)
-            cuts = [c for c in np.unique(p[mine]) if y[mine & (p >= c)].mean() >= self.PRECISION] if mine.any() else []
-            self.thresholds.append(max(0.5, float(cuts[0])) if cuts else 1.1)
-        self.accuracy = float(((p >= 0.5) == (y == 1))[apart].mean())
+        self.thresholds = {}
+        for g in SCORED:
+            mine = (part == 2) & (x[:, 0] == g)
+            cuts = [c for c in np.unique(p[mine]) if y[mine & (p >= c)].mean() >= self.PRECISION]
+            self.thresholds[g] = max(0.5, float(cuts[0])) if cuts else 1.0
+        self.accuracy = float(((p >= 0.5) == (y == 1))[part == 2].mean())
 
     def probability(self, feature) -> Column:
         score = F.lit(0.0)
@@ -264,19 +294,20 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans") ->
     """df with an array of (kind, start, end, base), kind as a place in KINDS: base spans and those that the trees add, by kind and start."""
     trees = model(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n = range(len(GENERATORS))
+    n, own = range(len(GENERATORS)), _free(df, "__pii")
     # one projection for each use of what came before, so that no pattern is searched twice
-    step = df.withColumns({f"__pii{g}": _candidates(text, g) for g in n})
-    step = step.withColumns({f"__pii{g}": _spans(F.col(f"__pii{g}"), g) for g in n})
+    step = df.withColumns({f"{own}{g}": _candidates(text, g) for g in n})
+    step = step.withColumns({f"{own}s{g}": _sizes(F.col(f"{own}{g}")) for g in n})
+    step = step.withColumns({f"{own}{g}": _spans(F.col(f"{own}{g}"), F.col(f"{own}s{g}"), g) for g in n}).drop(*[f"{own}s{g}" for g in n])
     # base spans of all generators and other candidates apart, so that only the latter are scored
-    step = step.withColumn("__pii", F.concat(*[F.col(f"__pii{g}") for g in n])).drop(*[f"__pii{g}" for g in n])
+    step = step.withColumn(own, F.concat(*[F.col(f"{own}{g}") for g in n])).drop(*[f"{own}{g}" for g in n])
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))
-    rest = F.filter("__pii", lambda c: ~c["base"])
+    rest = F.filter(own, lambda c: ~c["base"] & c["generator"].isin(SCORED))
     valued = F.transform(rest, lambda c: F.struct(plain(c).alias("span"), F.array(*_features(c["generator"], c["m"], c["before"], c["after"])).alias("f")))
-    limit = F.array(*map(F.lit, trees.thresholds))
+    limit = F.array(*[F.lit(trees.thresholds.get(g, 1.0)) for g in n])
     added = F.filter(valued, lambda v: trees.probability(lambda i: F.element_at(v["f"], i + 1)) >= F.element_at(limit, F.element_at(v["f"], 1).cast("int") + 1))
-    sure = F.transform(F.filter("__pii", lambda c: c["base"]), plain)
-    return step.withColumn(out_col, F.array_sort(F.concat(sure, F.transform(added, lambda v: v["span"])))).drop("__pii")
+    sure = F.transform(F.filter(own, lambda c: c["base"]), plain)
+    return step.withColumn(out_col, F.array_sort(F.concat(sure, F.transform(added, lambda v: v["span"])))).drop(own)
 
 
 def _of_kind(k: int):
@@ -299,18 +330,24 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with each span of the text replaced by its kind in brackets; spans that overlap become one, of the first's kind."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
-    text = F.col(text_col)
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def add(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["end"]
-        gap = F.substring(text, (a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int"))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when(fresh, F.concat(a["parts"], F.array(gap, F.element_at(names, s["kind"] + 1)))).otherwise(a["parts"]).alias("parts"))
-
-    rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["end"] + 1).cast("int"), F.lit(2**31 - 1)))
-    found = find_spans(df, text_col, "__spans")
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, F.aggregate(ordered, start, add, rest)).otherwise(text)).drop("__spans")
+    text, own = F.col(text_col), _free(df, "__cut")
+    spans, ends, prior, chunks = (f"{own}{x}" for x in ("spans", "ends", "prior", "chunks"))
+    found = find_spans(df, text_col, spans)
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = found.withColumn(spans, by_start).withColumn(chunks, F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    found = found.withColumn(ends, F.transform(spans, lambda s: s["end"])).withColumn(prior, _before(F.col(ends), lambda a, n: F.greatest(a, n)))
+
+    def between(a: Column, b: Column) -> Column:
+        """The text from a to b, read from its chunks, so that no place is counted from the text's begin."""
+        first, last, of = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int"), lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+        head = F.substring(of(first), (a - first * CHUNK + 1).cast("int"), F.when(first == last, b - a).otherwise(CHUNK).cast("int"))
+        return F.when(first == last, head).otherwise(F.concat(head, F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.substring(of(last), F.lit(1), (b - last * CHUNK).cast("int"))))
+
+    # a span that begins before the end of an earlier one belongs to it
+    whole = F.filter(F.arrays_zip(F.col(spans).alias("s"), F.col(prior).alias("prior")), lambda z: z["s"]["start"] >= z["prior"])
+    parts = F.transform(whole, lambda z: F.concat(between(z["prior"], z["s"]["start"]), F.element_at(names, z["s"]["kind"] + 1)))
+    new = F.concat(F.array_join(parts, ""), between(F.array_max(ends), F.length(text).cast("long")))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans, ends, prior, chunks)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
