@@ -5,8 +5,11 @@ Documents are sets of hashes of word shingles. Rows with equal sets form a class
 Routing. Under one order of all shingles (those outside a list of the most frequent ones first, by hash; then
 those of the list, rarest first) two sets whose similarity reaches the threshold share a shingle among the
 first n - ceil(t * n) + 1 of each. Classes that share such a shingle with another point to the least class of
-that shingle; connected components of these pointers are families, and no link leaves a family. The order only
-has to be the same everywhere, so the list's bounded length costs no link.
+that shingle, where bitmaps allow a link; connected components of these pointers are families, and no link leaves
+a family. The order only has to be the same everywhere, so the list's bounded length costs no link. A shingle of
+more than HOT classes is dealt out by pairs: two linked sets that first share it share a second one too, among one
+more than they are routed by, and meet there. Classes that share such a pair with more than HOT others are joined
+into a family as they are.
 
 Trees. A family's classes, by size and signature, are leaves of a tree whose nodes hold the OR of their token
 bitmaps, their range of sizes, and the least number of bits of a member. Two nodes are traversed together: a
@@ -16,9 +19,10 @@ A family beyond BLOCK classes is worked on in blocks: every block with itself an
 classes that are not in the largest component of the family with all blocks. Nothing else can hold a link.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer
-words than a shingle has one shingle, all its words; equal rows are linked; rows with the same id but different
-texts are documents of their own; ids may repeat; other columns are not read. Shingles and classes are
-identified by 64-bit hashes.
+words than a shingle has one shingle, all its words; a very long text is read in steps, and its set held whole; equal
+rows are linked; rows with the same id but different texts are documents of their own; ids may repeat or be null (a
+component of rows without ids has none either); a similarity of just the threshold is a link; an empty table gives
+no rows; other columns are not read. Shingles and classes are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import wordhash
-from loomframe.llm.arrowtext import slices, string_buffers
+from loomframe.llm.arrowtext import slices, spans_gather, string_buffers
 from loomframe.llm.components import components
 from loomframe.llm.shared import Shared, membership, passes
 
@@ -41,8 +46,13 @@ FREQUENT = 65_536
 FREQUENT_IN_SLICE = 4
 SLICE_BYTES = 2 << 20
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Bits of a set's bitmap: a power of two, at least twice its shingles, within these bounds.
-LEAST_BITS, MOST_BITS = 1024, 1 << 17
+#: Bits of a set's bitmap: a power of two, at least its shingles, within these bounds; a bitmap that travels with each routed shingle has
+#: ROUTE_BITS at most. Fewer bits rule out fewer pairs, and never one that is linked.
+LEAST_BITS, ROUTE_BITS, MOST_BITS = 256, 1 << 13, 1 << 17
+#: Classes of a bucket that one task connects; a larger bucket is dealt out by pairs of shingles.
+HOT = 2048
+#: Stands for the second shingle of sets that can be linked by one alone.
+SMALL = np.uint64(0x5851F42D4C957F2D)
 FANOUT = 8
 #: Pairs compared at a time.
 PAIRS = 1 << 16
@@ -53,6 +63,9 @@ MATRIX_BYTES = 64 << 20
 def text_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, off = string_buffers(col)
+    if len(off) == 2 and len(data) > 2 * SLICE_BYTES:
+        yield wordhash.long_shingles(data, width)
+        return
     begins, ends, first = wordhash.words(data, off)
     hashes, at = wordhash.shingle_hashes(wordhash.word_hashes(data, begins, ends), first, width)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -67,14 +80,19 @@ def set_class(s: np.ndarray) -> int:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set by which it is routed."""
+    """The shingles of a set by which it is routed, in order, and one more if there is one."""
     n = len(s)
-    k = n - -(-percent * n // 100) + 1
+    k = routes(n, percent) + 1
     key = s >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent["hash"], s), len(frequent) - 1)
         key = np.where(frequent["hash"][at] == s, np.uint64(1 << 63) + frequent["rank"][at], key)
-    return s[np.argsort(key, kind="stable")[:k]] if k < n else s
+    return s[np.argsort(key, kind="stable")[:k]]
+
+
+def routes(n, percent: int):
+    """How many shingles of a set of n are routed: of so many, two sets that are linked share one."""
+    return n - -(-percent * n // 100) + 1
 
 
 def bit_matrix(row: np.ndarray, col: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -84,8 +102,8 @@ def bit_matrix(row: np.ndarray, col: np.ndarray, width: int, n: int) -> np.ndarr
     return out
 
 
-def width_of(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * n - 1).bit_length() if n else LEAST_BITS))
+def width_of(n: int, most: int = MOST_BITS) -> int:
+    return min(most, max(LEAST_BITS, 1 << (n - 1).bit_length() if n else LEAST_BITS))
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -260,6 +278,8 @@ def tree_links(sets: Signatures, left: np.ndarray, right: np.ndarray | None, lin
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row: documents link when 100 * intersection >= percent * union of their shingle sets."""
+    if not 1 <= percent <= 100 or width < 1:
+        raise ValueError("percent is from 1 to 100, width at least 1")
     spark = df.sparkSession
     store = Shared(spark, "neardup")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -268,7 +288,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = list(text_sets(part.column(1), width))
-                if sets:
+                if len(sets) >= FREQUENT_IN_SLICE:
                     h, n = np.unique(np.concatenate(sets), return_counts=True)
                     often = n >= FREQUENT_IN_SLICE
                     yield pa.RecordBatch.from_arrays([pa.array(h[often].astype(np.int64)), pa.array(n[often])], ["hash", "n"])
@@ -281,57 +301,91 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     frequent = spark.sparkContext.broadcast(table)  # FREQUENT rows at most
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40  # a row's own number, the same when its partition is read again
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = list(text_sets(part.column(1), width))
                 first = [prefix(s, frequent.value, percent) if len(s) else s for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "class", "prefix", "bits"],
-                )
-
-    rows = store.cut(docs.mapInArrow(described, "doc_id long, n_shingles long, class long, prefix array<long>, bits binary"))
-    full = rows.filter("n_shingles > 0")
-    # a class is known by its smallest document, which alone is routed (rows of that id and class have equal prefixes)
-    classes = store.cut(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    # only rows whose class has others are joined to find the class's first; all others are that already
-    several = classes.filter("n > 1")
-    copied = membership(several, "class")
-
-    def with_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = passes(copied.value, np.asarray(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "copied"])
-
-    marked = full.select("doc_id", "class", F.col("n_shingles").alias("n"), "prefix", "bits").mapInArrow(with_copies, "doc_id long, class long, n long, prefix array<long>, bits binary, copied boolean")
-    first = several.select("class", F.col("first_id").alias("doc_id"))
-    alone = marked.filter("copied").join(classes.filter("n = 1").select("class"), "class", "left_semi")
-    heads = store.cut(
-        marked.filter("not copied").select("class", "n", "prefix", "bits")
-        .unionByName(alone.select("class", "n", "prefix", "bits"))
-        .unionByName(marked.filter("copied").join(first, ["class", "doc_id"]).dropDuplicates(["class"]).select("class", "n", "prefix", "bits"))
-    )
-    routed = heads.select("class", F.explode("prefix").alias("token"))
-    buckets = routed.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("who")).filter("n > 1")
-    buckets = store.cut(buckets.groupBy("n", "who").agg(F.min("token").alias("token")).select("token"))
-    kept = membership(buckets, "token")
-
-    def with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat = np.asarray(lists.flatten())
-            hit = passes(kept.value, flat)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(flat[hit])], ["class", "token"])
-
-    near = heads.select("class", "prefix").mapInArrow(with_buckets, "class long, token long")
-    members = store.cut(near.join(buckets, "token", "left_semi"))
+                bits = [bitmap(s, width_of(len(s), ROUTE_BITS)).tobytes() for s in sets]
+                cols = [part.column(0), pa.array(np.arange(number, number + len(sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], ["doc_id", "row", "n", "class", "prefix", "bits"])
+                number += len(sets)
+
+    whole, whole_path = store.write(docs.mapInArrow(described, "doc_id long, row long, n long, class long, prefix array<long>, bits binary"))
+    rows = store.cut(whole.select("doc_id", "n", "class"))
+    # a class is known by its first row, which alone is routed (rows of a class have equal sets)
+    classes = store.cut(whole.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")))
+    heads, heads_path = store.write(whole.join(classes.select("class", "row"), ["class", "row"]).select("class", "n", "prefix", "bits"))
+    store.drop(whole_path)
+
+    def tokens(hot: bool, wanted):
+        """Rows (class, token) of the routed shingles, or of the pairs of a hot one with each that follows it in the order, as far as `wanted` lets them through."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                name, size, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+                flat, ends = np.asarray(lists.flatten()).astype(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                at, owner = np.arange(len(flat)), np.repeat(np.arange(len(name)), np.diff(ends))
+                hit = at - ends[:-1][owner] < routes(size, percent)[owner]
+                if wanted is not None:
+                    hit &= passes(wanted.value, flat.view(np.int64))
+                at, owner = at[hit], owner[hit]
+                if not hot:
+                    yield pa.RecordBatch.from_arrays([pa.array(name[owner]), pa.array(flat[at].astype(np.int64))], ["class", "token"])
+                    continue
+                after = ends[1:][owner] - at - 1
+                for low in range(0, len(at), PAIRS):  # a set's hot shingles are few, what follows each is bounded by its routes
+                    some = slice(low, low + PAIRS)
+                    one = np.repeat(at[some], after[some])
+                    two = spans_gather(at[some] + 1, after[some])
+                    single = size[owner[some]] <= 100 // percent
+                    with np.errstate(over="ignore"):
+                        keys = np.concatenate([wordhash.mix(flat[one] * np.uint64(3) + flat[two]), wordhash.mix(flat[at[some][single]] * np.uint64(3) + SMALL)])
+                    names = np.concatenate([np.repeat(name[owner[some]], after[some]), name[owner[some]][single]])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys.astype(np.int64))], ["class", "token"])
+
+        return heads.select("class", "n", "prefix").mapInArrow(run, "class long, token long")
+
+    def buckets_of(routed: DataFrame) -> DataFrame:
+        """The tokens that several classes have, with their number; of tokens of the same classes one."""
+        shared = routed.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("who")).filter("n > 1")
+        return store.cut(shared.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", "n"))
+
+    def members_of(buckets: DataFrame, hot: bool, among=None) -> DataFrame:
+        """Rows (class, token) of these buckets: filtered by a bounded bit set where they are made, then exactly."""
+        if not hot:
+            return tokens(False, membership(buckets, "token")).join(buckets.select("token"), "token", "left_semi")
+        kept = membership(buckets, "token")
+
+        def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(passes(kept.value, np.asarray(batch.column(1)))))
+
+        return tokens(True, among).mapInArrow(through, "class long, token long").join(buckets.select("token"), "token", "left_semi")
+
+    buckets = buckets_of(tokens(False, None))
+    members = members_of(buckets.filter(F.col("n") <= HOT), False)
+    chained = None
+    hot = buckets.filter(F.col("n") > HOT)
+    if not hot.isEmpty():
+        # two linked sets whose first common shingle is hot share it and their second common one, among one more than is routed
+        among = membership(hot, "token")
+        paired = buckets_of(tokens(True, among))
+        members = members.unionByName(members_of(paired.filter(F.col("n") <= HOT), True, among))
+        # what many classes share twice is joined whole, without a look at bitmaps; the exact sets decide
+        crowd = paired.filter(F.col("n") > HOT)
+        if not crowd.isEmpty():
+            crowded = members_of(crowd, True, among)
+            least = crowded.groupBy("token").agg(F.min("class").alias("b"))
+            chained = crowded.join(least, "token").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
+    members, members_path = store.write(members)
     spots = members.join(heads.select("class", "n", "bits"), "class").repartition("token").sortWithinPartitions("token", "n", "class")
+    doubled = (100 // percent - (100 % percent == 0)).bit_length()  # linked sets' widths are this many doublings apart at most
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spanning connections of each bucket; rows come sorted by bucket, a bucket may go on in the next batch."""
+        """Spanning connections of each bucket; rows come sorted by bucket, a bucket (of HOT classes at most) may go on in the next batch."""
 
         def solved(t: pa.Table) -> pa.RecordBatch:
             token, name = np.asarray(t["token"]), np.asarray(t["class"])
@@ -341,9 +395,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             ends = np.append(starts[1:], len(token))
             of = np.repeat(np.arange(len(starts)), ends - starts)
             links: list[tuple[int, int]] = []
-            # sets that may be linked have the same width or one the double of the other
             for w in np.unique(words).tolist():
-                rows = np.flatnonzero((words == w) | (words == 2 * w))
+                rows = np.flatnonzero((words >= w) & (words <= w << doubled))
                 bits = np.stack([fold(np.frombuffer(raw[r], np.uint64)[None], w)[0] for r in rows])
                 first = np.searchsorted(of[rows], np.arange(len(starts)), "left")
                 count = np.searchsorted(of[rows], np.arange(len(starts)), "right") - first
@@ -358,45 +411,61 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
             pair = np.array(links, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(name[pair[:, 0]]), pa.array(name[pair[:, 1]])], ["a", "b"])
 
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            token = np.asarray(held["token"])
-            whole = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
-            if whole:
-                yield solved(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield solved(held)
+            token = np.asarray(batch.column(batch.schema.get_field_index("token")))
+            if not len(token):
+                continue
+            begin = int(np.searchsorted(token != token[0], True)) if token[0] != token[-1] else len(token)
+            last = int(len(token) - np.searchsorted(token[::-1] != token[-1], True)) if token[0] != token[-1] else 0
+            if held and held[-1].column(held[-1].schema.get_field_index("token"))[-1].as_py() == token[0]:
+                held.append(batch.slice(0, begin))
+                if begin == len(token):
+                    continue
+            else:
+                begin = 0
+            if held:
+                yield solved(pa.Table.from_batches(held))
+            if last > begin:
+                yield solved(pa.Table.from_batches([batch.slice(begin, last - begin)]))
+            held = [batch.slice(max(last, begin))]
+        if held:
+            yield solved(pa.Table.from_batches(held))
 
     pointers = spots.mapInArrow(connect, "a long, b long").distinct()
+    pointers = pointers if chained is None else pointers.unionByName(chained)
     families = store.cut(components(pointers, store).select(F.col("node").alias("class"), F.col("root").alias("family")))
+    store.drop(members_path)
+    sizes = store.cut(families.join(heads.select("class", "n"), "class").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    store.drop(heads_path)
 
-    # the sets of classes that share a family with another, from the text of the class's smallest document
-    wanted = families.join(classes, "class").select("first_id", "class", "family")
+    # the sets of classes that share a family with another, from the texts: of rows whose id may be that of a class's first document
+    wanted = families.join(classes, "class")
+    by_id, by_class = membership(wanted, "first_id"), membership(wanted, "class")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                of, sets = part.column(1).to_pylist(), list(text_sets(part.column(0), width))
-                keep = [k for k, s in enumerate(sets) if set_class(s) == of[k]]
+            ids = batch.column(0)
+            near = batch.filter(pa.array(passes(by_id.value, np.asarray(ids.fill_null(0))) | np.asarray(ids.is_null())))
+            for part in slices(near, "text", SLICE_BYTES):
+                sets = list(text_sets(part.column(1), width))
+                name = np.array([set_class(s) for s in sets], np.int64)
+                _, first = np.unique(name, return_index=True)
+                keep = [k for k in first[passes(by_class.value, name[first])].tolist() if len(sets[k])]
                 ends = np.concatenate([[0], np.cumsum([len(sets[k]) for k in keep])]).astype(np.int32)
                 flat = np.concatenate([sets[k] for k in keep]).astype(np.int64) if keep else np.zeros(0, np.int64)
-                pick = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pick), part.column(2).take(pick), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "family", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "shingles"])
 
-    members = docs.join(wanted, docs["doc_id"] == wanted["first_id"]).select("text", "class", "family").mapInArrow(with_sets, "class long, family long, shingles array<long>")
-    sizes = families.join(heads.select("class", "n"), "class").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))).cast("int"))
-    members = store.cut(members)
+    sets = docs.mapInArrow(with_sets, "class long, shingles array<long>").dropDuplicates(["class"])
+    members = sets.join(families, "class").join(sizes, "family").withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))).cast("int"))
+    members, members_path = store.write(members.select("family", "class", "shingles", "blocks", "block"))
 
     def solve(table: pa.Table) -> pa.Table:
         """One job: the members with themselves, and with the others that came along (side 1)."""
         side = np.asarray(table["side"])
         keys = np.asarray(table["class"])
         order = np.lexsort((keys, side))
-        order = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]  # repeated rows of one document
+        order = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]  # a member on both sides
         table = table.take(pa.array(order))
         keys, side = keys[order], side[order]
         lists = table["shingles"].combine_chunks()
@@ -427,11 +496,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         meet = large.join(lots, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("block").alias("job"), "class", "shingles", F.lit(1).alias("side"))
         more = stay.unionByName(meet).groupBy("family", "lot", "job").applyInArrow(solve, "a long, b long")
         links = store.cut(links.unionByName(more))
+    store.drop(members_path)
     found = components(links, store).select(F.col("node").alias("class"), "root")
     first = found.join(classes, "class").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = found.join(first, "root").select("class", "component_id")
     of_class = store.cut(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id")))
-    return rows.drop("prefix", "bits").join(of_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

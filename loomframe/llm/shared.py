@@ -59,7 +59,7 @@ def membership(keys: DataFrame, column: str):
     """A broadcast bit set that has each key's bit, ORed together on executors: a bounded filter before a join on the keys."""
     spark = keys.sparkSession
     # the 26 lowest bits of a hash: 20 of the word, 6 of the bit in it
-    at = keys.select(F.col(column).bitwiseAND(FILTER_BITS - 1).alias("at"))
+    at = keys.filter(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(FILTER_BITS - 1).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     bits[np.asarray(words["word"])] = np.asarray(words["bits"])

@@ -7,11 +7,14 @@ prefix sums and mixed; shingle hashes mix the hashes of their words in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a long text that are read at a time.
+STEP = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -65,12 +68,51 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins, ends, np.searchsorted(begins, offsets, "left")
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _polynomials(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[begins]) * down[begins])
+        return (total[ends] - total[begins]) * down[begins]
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix(_polynomials(data, begins, ends))
+
+
+def word_stream(data: np.ndarray, step: int = STEP) -> Iterator[np.ndarray]:
+    """Hashes of the words of one long text, as word_hashes gives them, read `step` bytes at a time; a word may be longer than a step."""
+    open_sum = open_len = 0  # a word that has not ended yet
+    for at in range(0, len(data), step):
+        part = data[at : at + step]
+        begins, ends, _ = words(part, np.array([0, len(part)]))
+        sums = _polynomials(part, begins, ends)
+        goes_on = bool(open_len) and len(begins) > 0 and begins[0] == 0
+        if goes_on:
+            sums[0] = np.uint64((open_sum + pow(BASE, open_len, 1 << 64) * int(sums[0])) % (1 << 64))
+        elif open_len:
+            sums = np.concatenate([np.array([open_sum], np.uint64), sums])
+        before, open_len = open_len, 0
+        if len(begins) and ends[-1] == len(part) and at + step < len(data):
+            open_sum, open_len = int(sums[-1]), int(ends[-1] - begins[-1]) + (before if goes_on and len(begins) == 1 else 0)
+            sums = sums[:-1]
+        yield mix(sums)
+    if open_len:
+        yield mix(np.array([open_sum], np.uint64))
+
+
+def long_shingles(data: np.ndarray, width: int, step: int = STEP) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text; nothing but them grows with it."""
+    held, out, total = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], 0
+    for word in word_stream(data, step):
+        total += len(word)
+        held = np.concatenate([held, word])
+        if len(held) >= width:
+            out.append(np.unique(shingle_hashes(held, np.array([0, len(held)]), width)[0]))
+            held = held[len(held) - width + 1 :]
+    if 0 < total < width:
+        out.append(shingle_hashes(held, np.array([0, total]), width)[0])
+    return np.unique(np.concatenate(out))
 
 
 def shingle_hashes(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -153,6 +153,18 @@ def test_words_and_shingles():
     assert at.tolist() == [0, 2, 2, 2, 3, 5] and s[:2].tolist() == s[3:].tolist()
 
 
+@pytest.mark.parametrize("step", [1, 2, 7, 64, 5000])
+def test_long_texts_have_the_same_shingles(step):
+    r = random.Random(step)
+    for text in ["", " ", "x", "a b", " a b ", "word" * 900, " ".join("ab"[: r.randint(0, 2)] * r.randint(0, 9) for _ in range(300)), "one two three four " * 9]:
+        data, off = arrowtext.string_buffers(pa.array([text]))
+        b, e, first = wordhash.words(data, off)
+        want = wordhash.word_hashes(data, b, e)
+        assert np.concatenate([np.zeros(0, np.uint64), *wordhash.word_stream(data, step)]).tolist() == want.tolist()
+        for width in (1, 3, 5):
+            assert wordhash.long_shingles(data, width, step).tolist() == np.unique(wordhash.shingle_hashes(want, first, width)[0]).tolist()
+
+
 def test_local_roots():
     nodes, roots = components.local_roots(np.array([5, 3, 9, 2]), np.array([3, 1, 8, 2]))
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {1: 1, 2: 2, 3: 1, 5: 1, 8: 8, 9: 8}

@@ -181,13 +181,15 @@ def brute_components(rows, width, percent):
                 up[find(a)] = find(b)
     least = {}
     for a, (i, _) in enumerate(rows):
-        least[find(a)] = min(least.get(find(a), i), i)
-    return sorted((i, len(sets[a]), least[find(a)]) for a, (i, _) in enumerate(rows))
+        known = [x for x in (least.get(find(a)), i) if x is not None]
+        least[find(a)] = min(known) if known else None
+    return sorted(((i, len(sets[a]), least[find(a)]) for a, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 1024), (5, 80, 60)])
-def test_near_duplicates(spark, monkeypatch, width, percent, block):
+@pytest.mark.parametrize(("width", "percent", "block", "hot"), [(3, 90, 1024, 2048), (5, 80, 60, 8), (3, 25, 100, 2048), (2, 50, 1024, 4)])
+def test_near_duplicates(spark, monkeypatch, width, percent, block, hot):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HOT", hot)
     r = random.Random(2)
     base = [r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(150)]
     rows = []
@@ -197,9 +199,21 @@ def test_near_duplicates(spark, monkeypatch, width, percent, block):
             if w:
                 w[r.randrange(len(w))] = f"x{r.randint(0, 99999)}"
         rows.append((i * 7 + 3, " ".join(w)))
+    for i in range(120):  # alike in a few words alone; every tenth is like the one before it
+        w = ["once", "upon", "a", "time", *(f"y{r.randint(0, 9)}{r.randint(0, 99)}" for _ in range(r.randint(0, 25)))]
+        rows.append((5000 + i, rows[-1][1] + " z" if i % 10 == 5 else " ".join(w)))
+    rows += [(None, rows[4][1] + " end"), (None, "alone without id"), (None, "alone without id"), (None, None)]
+    long = [f"v{r.randint(0, 10**6)}" for _ in range(900)]
+    rows += [(7000, " ".join(long * 3)), (7001, " ".join(long)), (7002, " ".join(long[:300]))]
     rows += [(1, ""), (2, None), (5, "one"), (6, "ONE"), (8, "one two"), (9, "\t\n"), (12, rows[4][1]), (12, rows[4][1]), (11, "Zz y")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent)
-    assert sorted(map(tuple, got.collect())) == brute_components(rows, width, percent)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, width, percent)
+
+
+def test_near_duplicates_check_their_arguments(odd):
+    for percent, width in ((0, 3), (101, 3), (90, 0)):
+        with pytest.raises(ValueError, match="percent"):
+            neardup.near_duplicates(odd, width, percent)
 
 
 def test_passages(spark):
