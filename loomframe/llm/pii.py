@@ -33,6 +33,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.llm.textcut import free_name, replaced, running
+
 #: Kinds in their order, the base four first.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
@@ -53,9 +55,6 @@ GENERATORS: list[tuple[str, str, str]] = [
 #: Generators whose candidates beyond the base rules can be right; of the others only base spans are taken.
 SCORED = [2, 3, 4, 5, 6, 7, 8]
 CONTEXT = 32
-LOT = 128
-#: Characters of the parts that a text is cut into where spans of it are replaced.
-CHUNK = 1024
 FEATURES = ["generator", "length", "digits", "marks", "upper", "lower", "distinct", "luhn", "groups", "longest", "largest", "before", "after", "hint", "against"]
 HINTS = r"(?i)phone|tel|call|mobile|fax|mail|contact|card|visa|credit|payment|password|login|token|secret|key|address|host"
 AGAINST = r"(?i)version|isbn|issn|order|invoice|serial|part|page|date|doi|figure|table|[0-9+][\x20().-]*$"
@@ -64,25 +63,6 @@ AGAINST = r"(?i)version|isbn|issn|order|invoice|serial|part|page|date|doi|figure
 # -- spans -----------------------------------------------------------------------------------------------------
 
 
-def _before(values: Column, join) -> Column:
-    """What `join` (a sum, or a maximum; from 0) makes of the values before each element, by lots: of what comes before a lot once for each, of
-    what comes before an element within its lot. `values` must be a column, not an expression: functions of elements read it."""
-    zero = F.lit(0).cast("long")
-    lots = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / LOT).cast("int"))).otherwise(F.array().cast("array<int>"))
-    totals = F.transform(lots, lambda b: F.aggregate(F.slice(values, b * LOT + 1, LOT), zero, join))
-    start = F.struct(zero.alias("all"), F.array().cast("array<bigint>").alias("heads"))
-    heads = F.aggregate(totals, start, lambda a, n: F.struct(join(a["all"], n).alias("all"), F.concat(a["heads"], F.array(a["all"])).alias("heads")), lambda a: a["heads"])
-    of_lot = lambda z: F.transform(F.slice(values, z["lot"] * LOT + 1, LOT), lambda n, i: F.aggregate(F.slice(values, z["lot"] * LOT + 1, i), z["head"], join))
-    return F.flatten(F.transform(F.arrays_zip(heads.alias("head"), lots.alias("lot")), of_lot))
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """A prefix that no column of df begins with."""
-    while any(c.lower().startswith(name) for c in df.columns):
-        name += "_"
-    return name
-
-
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -131,7 +111,7 @@ def _spans(found: Column, sizes: Column, generator: int) -> Column:
     """Of each match: kind, start, end (code points), if a base rule takes it, the match, and what is around it."""
     pieces, matches = found["pieces"], found["matches"]
     n = F.size(matches)
-    zipped = F.arrays_zip(matches.alias("m"), _before(sizes, lambda a, n: a + n).alias("begin"), sizes.alias("size"), F.slice(pieces, 1, n).alias("left"), F.slice(pieces, 2, n).alias("right"))
+    zipped = F.arrays_zip(matches.alias("m"), running(sizes, lambda a, n: a + n).alias("begin"), sizes.alias("size"), F.slice(pieces, 1, n).alias("left"), F.slice(pieces, 2, n).alias("right"))
     return F.transform(
         zipped,
         lambda z: F.struct(
@@ -294,7 +274,7 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans") ->
     """df with an array of (kind, start, end, base), kind as a place in KINDS: base spans and those that the trees add, by kind and start."""
     trees = model(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n, own = range(len(GENERATORS)), _free(df, "__pii")
+    n, own = range(len(GENERATORS)), free_name(df, "__pii")
     # one projection for each use of what came before, so that no pattern is searched twice
     step = df.withColumns({f"{own}{g}": _candidates(text, g) for g in n})
     step = step.withColumns({f"{own}s{g}": _sizes(F.col(f"{own}{g}")) for g in n})
@@ -330,24 +310,10 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with each span of the text replaced by its kind in brackets; spans that overlap become one, of the first's kind."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text, own = F.col(text_col), _free(df, "__cut")
-    spans, ends, prior, chunks = (f"{own}{x}" for x in ("spans", "ends", "prior", "chunks"))
+    spans = free_name(df, "__spans")
     found = find_spans(df, text_col, spans)
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.withColumn(spans, by_start).withColumn(chunks, F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
-    found = found.withColumn(ends, F.transform(spans, lambda s: s["end"])).withColumn(prior, _before(F.col(ends), lambda a, n: F.greatest(a, n)))
-
-    def between(a: Column, b: Column) -> Column:
-        """The text from a to b, read from its chunks, so that no place is counted from the text's begin."""
-        first, last, of = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int"), lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
-        head = F.substring(of(first), (a - first * CHUNK + 1).cast("int"), F.when(first == last, b - a).otherwise(CHUNK).cast("int"))
-        return F.when(first == last, head).otherwise(F.concat(head, F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.substring(of(last), F.lit(1), (b - last * CHUNK).cast("int"))))
-
-    # a span that begins before the end of an earlier one belongs to it
-    whole = F.filter(F.arrays_zip(F.col(spans).alias("s"), F.col(prior).alias("prior")), lambda z: z["s"]["start"] >= z["prior"])
-    parts = F.transform(whole, lambda z: F.concat(between(z["prior"], z["s"]["start"]), F.element_at(names, z["s"]["kind"] + 1)))
-    new = F.concat(F.array_join(parts, ""), between(F.array_max(ends), F.length(text).cast("long")))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans, ends, prior, chunks)
+    found = found.withColumn(spans, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return replaced(found, text_col, spans, lambda s: F.element_at(names, s["kind"] + 1))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
