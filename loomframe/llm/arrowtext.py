@@ -24,16 +24,19 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch, each of about `most` bytes of text; one longer text stands alone."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, alone: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, each of about `most` bytes of text; a text longer than that, or than `alone`, stands alone."""
     n = batch.num_rows
     if not n:
         return
     _, off = string_buffers(batch.column(batch.schema.get_field_index(text)))
+    long = np.append(np.flatnonzero(np.diff(off) > (alone or most)), n)
     begin = 0
     while begin < n:
         end = int(np.searchsorted(off, off[begin] + most, "right")) - 1
         end = min(n, max(begin + 1, end))
+        next_long = int(long[np.searchsorted(long, begin)])
+        end = begin + 1 if next_long == begin else min(end, next_long)
         yield batch.slice(begin, end - begin)
         begin = end
 

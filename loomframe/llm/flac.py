@@ -9,8 +9,9 @@ The decoder takes the frames of many streams in step: each step reads the next R
 cumulative sums. It checks both checksums of each frame, the sample counts and the MD5, and raises on any
 difference. PCM blocks come with the offset of their first sample; read_block() seeks one by the SEEKTABLE.
 
-Defined results: a null or empty text is a payload of 64 zero bytes; equal texts have equal values; repeated
-rows are each coded; columns other than the id and the text are not read, so their names cannot clash.
+Defined results: a null or empty text is a payload of 64 zero bytes; a very long text is coded and read back some
+frames at a time, and its stream held whole; equal texts have equal values; of predictors and Rice parameters that
+cost the same the lower is taken; an empty table gives no rows; repeated rows are each coded; ids may be null; columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ RATE = 44_100
 #: Bytes of text whose bits are laid out at once, and frames that are decoded in step.
 ENCODE_BYTES = 2 << 20
 DECODE_FRAMES = 4096
+#: Frames of a long text that are coded at a time.
+LONG_FRAMES = 256
 #: Fixed values of the format.
 CRC8_POLY, CRC16_POLY = 0x07, 0x8005
 MAX_ORDER = 4
@@ -121,14 +124,8 @@ def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, off
 
 
-def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A FLAC stream for each payload (of one byte at least)."""
-    total = np.diff(offsets)
-    frames = -(-total // BLOCK)
-    stream = np.repeat(np.arange(len(total)), frames)
-    number = np.arange(len(stream)) - np.repeat(np.cumsum(frames) - frames, frames)
-    begin = offsets[stream] + number * BLOCK
-    count = np.minimum(BLOCK, offsets[stream + 1] - begin)
+def _encode_frames(payload: np.ndarray, begin: np.ndarray, count: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames over consecutive samples, one after the other, and their sizes in bytes."""
     x = payload.astype(np.int16) - 128
     frame_of = np.repeat(np.arange(len(begin), dtype=np.int32), count)
     place = (np.arange(len(x)) - begin[frame_of]).astype(np.int16)
@@ -185,20 +182,55 @@ def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     check = crc16(out, at[:-1], size - 2)
     out[at[1:] - 2], out[at[1:] - 1] = check >> 8, check & 0xFF
 
-    raw, pcm = out.tobytes(), (payload ^ 0x80).tobytes()
+    return out, size
+
+
+def _head(total: int, sizes: np.ndarray, counts: np.ndarray, md5: bytes) -> bytes:
+    """What stands before a stream's frames: its mark, STREAMINFO and SEEKTABLE."""
+    info = struct.pack(">HH", max(16, int(counts[0])), max(16, int(counts[0]))) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | total).to_bytes(8, "big") + md5
+    points = np.zeros(len(sizes), np.dtype([("sample", ">u8"), ("byte", ">u8"), ("count", ">u2")]))
+    points["sample"], points["byte"], points["count"] = np.arange(len(sizes)) * BLOCK, np.cumsum(sizes) - sizes, counts
+    table = points.tobytes()
+    return b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table
+
+
+def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A FLAC stream for each payload (of one byte at least)."""
+    total = np.diff(offsets)
+    frames = -(-total // BLOCK)
+    stream = np.repeat(np.arange(len(total)), frames)
+    number = np.arange(len(stream)) - np.repeat(np.cumsum(frames) - frames, frames)
+    begin = offsets[stream] + number * BLOCK
+    count = np.minimum(BLOCK, offsets[stream + 1] - begin)
+    out, size = _encode_frames(payload, begin, count, number)
+    raw, pcm, at = out.tobytes(), (payload ^ 0x80).tobytes(), np.concatenate([[0], np.cumsum(size)])
     streams, f = [], 0
     for i, n in enumerate(frames.tolist()):
-        sizes, counts = size[f : f + n], count[f : f + n]
-        info = struct.pack(">HH", max(16, int(counts[0])), max(16, int(counts[0]))) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | int(total[i])).to_bytes(8, "big") + hashlib.md5(pcm[offsets[i] : offsets[i + 1]]).digest()
-        points = np.zeros(n, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("count", ">u2")]))
-        points["sample"], points["byte"], points["count"] = np.arange(n) * BLOCK, at[f : f + n] - at[f], counts
-        table = points.tobytes()
-        streams.append(b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + raw[at[f] : at[f + n]])
+        head = _head(int(total[i]), size[f : f + n], count[f : f + n], hashlib.md5(pcm[offsets[i] : offsets[i + 1]]).digest())
+        streams.append(head + raw[at[f] : at[f + n]])
         f += n
     return streams
 
 
+def encode_long(text: np.ndarray) -> bytes:
+    """The stream of one long text's payload, as encode gives it, made LONG_FRAMES frames at a time."""
+    total = max(64, -(-len(text) // 64) * 64)
+    bodies, sizes, counts, md5 = [], [], [], hashlib.md5()
+    for at in range(0, total, LONG_FRAMES * BLOCK):
+        part = np.zeros(min(LONG_FRAMES * BLOCK, total - at), np.uint8)
+        there = text[at : at + len(part)]
+        part[: len(there)] = there
+        begin = np.arange(0, len(part), BLOCK)
+        count = np.minimum(BLOCK, len(part) - begin)
+        out, size = _encode_frames(part, begin, count, at // BLOCK + np.arange(len(begin)))
+        bodies.append(out.tobytes())
+        sizes.append(size)
+        counts.append(count)
+        md5.update((part ^ 0x80).tobytes())
+    return b"".join([_head(total, np.concatenate(sizes), np.concatenate(counts), md5.digest()), *bodies])
+
+
 class FlacError(ValueError):
     """A stream that does not decode, or not to what its checksums say."""
 
@@ -337,6 +369,26 @@ def decode(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pcm ^ 0x80, off
 
 
+def decode_long(media: bytes) -> Iterator[np.ndarray]:
+    """The payload of one stream, LONG_FRAMES frames at a time; raises FlacError unless every checksum holds."""
+    total, first, md5, points = seek_points(media)
+    begin = first + points["byte"].astype(np.int64)
+    size = np.diff(np.append(begin, len(media)))
+    count = points["count"].astype(np.int64)
+    if count.sum() != total:
+        raise FlacError("a stream has not as many samples as it says")
+    check = hashlib.md5()
+    for g in range(0, len(points), LONG_FRAMES):
+        some = slice(g, g + LONG_FRAMES)
+        low, high = int(begin[some][0]), int(begin[some][-1] + size[some][-1])
+        data = np.frombuffer(media[low:high] + bytes(8), np.uint8)
+        pcm = np.concatenate(_frames(data, begin[some] - low, size[some], points["sample"][some].astype(np.int64) // BLOCK, count[some])).astype(np.int8).view(np.uint8)
+        check.update(pcm.tobytes())
+        yield pcm ^ 0x80
+    if check.digest() != md5:
+        raise FlacError("a stream's MD5 differs")
+
+
 def read_block(media: bytes, sample: int) -> tuple[int, bytes]:
     """The PCM block that holds a sample: the offset of its first sample, and its bytes; only its frame is decoded."""
     total, first, _, points = seek_points(media)
@@ -361,6 +413,21 @@ def features(pcm: np.ndarray, off: np.ndarray) -> list[str]:
     return [f"n={n};sum={s};energy={e};min={a};max={b};crossings={c}" for n, s, e, a, b, c in zip(*(v.tolist() for v in cols), strict=True)]
 
 
+def long_row(text: np.ndarray) -> tuple[bytes, list]:
+    """The stream of one long text, and its payload's size, SHA-256, checksum of the last 64 bytes and features, read back part by part."""
+    media = encode_long(text)
+    sha, tail, n, total, energy, least, most, changes, before = hashlib.sha256(), b"", 0, 0, 0, 127, -128, 0, None
+    for part in decode_long(media):
+        sha.update(part.tobytes())
+        tail = (tail + part[-64:].tobytes())[-64:]
+        x = part.astype(np.int64) - 128
+        below = x < 0
+        changes += int((below[1:] != below[:-1]).sum()) + int(before is not None and before != bool(below[0]))
+        before = bool(below[-1])
+        n, total, energy, least, most = n + len(x), total + int(x.sum()), energy + int((x * x).sum()), min(least, int(x.min())), max(most, int(x.max()))
+    return media, [n, sha.hexdigest(), zlib.crc32(tail), f"n={n};sum={total};energy={energy};min={least};max={most};crossings={changes}"]
+
+
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
     """One row for each input row with the digests of its stream; with keep_media also `media` and `blocks` (first sample, byte offset, samples). No shuffle."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -369,17 +436,22 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                media = []
-                for piece in slices(part, "text", ENCODE_BYTES):
-                    media += encode(*payloads(*string_buffers(piece.column(1))))
-                pcm, off = decode(media)
-                raw = pcm.tobytes()
-                spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+            for part in slices(batch, "text", alone=2 * ENCODE_BYTES):
+                size = np.diff(string_buffers(part.column(1))[1])
+                if part.num_rows == 1 and size[0] > 2 * ENCODE_BYTES:
+                    one, (n, sha, tail, feature) = long_row(string_buffers(part.column(1))[0])
+                    media, found = [one], [[n], [sha], [tail], [feature]]
+                else:
+                    media = []
+                    for piece in slices(part, "text", ENCODE_BYTES):
+                        media += encode(*payloads(*string_buffers(piece.column(1))))
+                    pcm, off = decode(media)
+                    raw = pcm.tobytes()
+                    spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                    found = [np.diff(off), [hashlib.sha256(raw[a:b]).hexdigest() for a, b in spans], [zlib.crc32(raw[b - 64 : b]) for _, b in spans], features(pcm, off)]
                 cols = [
-                    part.column(0), pa.array(np.diff(string_buffers(part.column(1))[1])), pa.array(np.diff(off)),
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in spans]), pa.array([zlib.crc32(raw[b - 64 : b]) for _, b in spans], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(features(pcm, off)),
+                    part.column(0), pa.array(size), pa.array(found[0], pa.int64()), pa.array(found[1]), pa.array(found[2], pa.int64()),
+                    pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(found[3]),
                 ]
                 names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
                 if keep_media:

@@ -9,8 +9,11 @@ labelled vectors, which gives every cosine exactly, and its NEIGHBOURS nearest v
 weight. Each document counts whole, however long; nothing is shuffled but the sample.
 
 Defined results: a null or empty text, and one with no term that the sample has, gets the share of label 1 in
-the sample as score; with no labelled row at all every score is 0.5. Labels that are null are not learnt from;
-of repeated labels for one document each counts. Other columns are not read, so their names cannot clash.
+the sample as score; with no labelled row at all every score is 0.5. Labels that are null are not learnt from; of
+different labels for one document each counts, of equal ones one, and of rows that repeat an id one text. Neighbours
+of equal similarity at the edge are taken as they come in the sample's order. A very long text is read in steps; an
+empty table gives no rows; repeated rows are each scored; a null id is not held out. Other columns are not read, so
+their names cannot clash; keep_good keeps them all.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SHARPNESS = 8
 #: Documents in a block of cosine products.
 BLOCK = 1024
 THRESHOLD = 0.3
+#: Bytes beyond which a text's terms are counted in steps.
+LONG = 4 << 20
 
 _WORD_TERMS = 256
 _KINDS = 40
@@ -65,12 +70,33 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
+_GRAMS = TERMS - _KINDS - _WORD_TERMS - 2
+
+
+def _slots(kinds: np.ndarray, width: int) -> np.ndarray:
+    """The term of each `width` kinds in a row."""
+    code = np.zeros(len(kinds) - width + 1, np.uint32)
+    for j in range(width):
+        code = code * np.uint32(64) + kinds[j : len(kinds) - width + 1 + j]
+    return _KINDS + 2 + (((code + np.uint32(width)) * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(_GRAMS)).astype(np.int64)
+
+
+def _word_slots(word: np.ndarray) -> np.ndarray:
+    return _KINDS + 2 + _GRAMS + (word % np.uint64(_WORD_TERMS)).astype(np.int64)
+
+
+def _scaled(table: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.log1p(1000 * (table / np.maximum(size, 1)[:, None])).astype(np.float32)
+
+
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of the TERMS terms of each text, as log(1 + count) scaled by the text's length."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     if not len(data):
         return np.zeros((n, TERMS), np.float32)
+    if n == 1 and len(data) > LONG:
+        return long_term_counts(data)
     doc = np.repeat(np.arange(n, dtype=np.int64), size)
     kind = KINDS[data]
     counts = np.zeros(n * TERMS, np.float64)
@@ -84,17 +110,11 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     turn[1:] = (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(turn)
     k, d = kind[at].astype(np.uint32), doc[at]
-    grams = TERMS - _KINDS - _WORD_TERMS - 2
-    base = _KINDS + 2
     for width in (2, 3):
         if len(k) < width:
             break
-        code = np.zeros(len(k) - width + 1, np.uint32)
-        for j in range(width):
-            code = code * np.uint32(64) + k[j : len(k) - width + 1 + j]
         same = d[width - 1 :] == d[: len(d) - width + 1]
-        slot = ((code + np.uint32(width)) * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(grams)
-        add(base + slot[same].astype(np.int64), d[: len(d) - width + 1][same])
+        add(_slots(k, width)[same], d[: len(d) - width + 1][same])
     begins, ends, first = wordhash.words(data, offsets)
     if len(begins):
         word = wordhash.word_hashes(data, begins, ends)
@@ -102,10 +122,35 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         again = np.zeros(len(word), bool)
         again[1:] = (word[1:] == word[:-1]) & (d[1:] == d[:-1])
         add(_KINDS + again.astype(np.int64), d)
-        add(base + grams + (word % np.uint64(_WORD_TERMS)).astype(np.int64), d)
-    table = counts.reshape(n, TERMS)
-    share = table / np.maximum(size, 1)[:, None]
-    return np.log1p(1000 * share).astype(np.float32)
+        add(_word_slots(word), d)
+    return _scaled(counts.reshape(n, TERMS), size)
+
+
+def long_term_counts(data: np.ndarray, step: int = wordhash.STEP) -> np.ndarray:
+    """What term_counts gives for one long text, which is read `step` bytes at a time."""
+    counts = np.zeros(TERMS, np.int64)
+    add = lambda term: np.add(counts, np.bincount(term, minlength=TERMS), out=counts)
+    runs, last = np.zeros(0, np.uint32), None  # the last two kinds in turn, and the last byte's
+    for at in range(0, len(data), step):
+        kind = KINDS[data[at : at + step]]
+        add(kind.astype(np.int64))
+        turn = np.ones(len(kind), bool)
+        turn[1:] = kind[1:] != kind[:-1]
+        turn[0] = kind[0] != last
+        fresh, last = kind[turn].astype(np.uint32), kind[-1]
+        for width in (2, 3):
+            k = np.concatenate([runs[len(runs) - min(len(runs), width - 1) :], fresh])
+            if len(k) >= width:
+                add(_slots(k, width))
+        runs = np.concatenate([runs, fresh])[-2:]
+    before = None
+    for word in wordhash.word_stream(data, step):
+        if len(word):
+            again = np.concatenate([[before is not None and word[0] == before], word[1:] == word[:-1]])
+            add(_KINDS + again.astype(np.int64))
+            add(_word_slots(word))
+            before = word[-1]
+    return _scaled(counts[None], np.array([len(data)]))
 
 
 class Voters:
@@ -152,13 +197,17 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Voters:
     """Voters from labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.distinct()
     parts = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class) for c in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # 2 * sample_per_class rows at most
+    chosen = parts[0].unionByName(parts[1])  # 2 * sample_per_class rows at most
+    # of rows that repeat an id one is learnt from for each label, the first by its text's hash, so that the sample keeps its bound
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    least = texts.groupBy("doc_id", "label").agg(F.min(F.xxhash64("text")).alias("hash"))
+    texts = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(least), ["doc_id", "label", "hash"]).dropDuplicates(["doc_id", "label"]).select("doc_id", "text", "label")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 x = term_counts(*string_buffers(part.column(1)))
                 i, j = np.nonzero(x)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(x)))]).astype(np.int32)
@@ -166,9 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["doc_id", "label", "term", "value"])
 
     got = texts.mapInArrow(terms, "doc_id long, label int, term array<short>, value array<float>").toArrow()
-    # of several rows with one id the sample may bring more than its bound: the first by id stay
     order = np.lexsort((np.asarray(got["label"]), np.asarray(got["doc_id"]))) if got.num_rows else np.zeros(0, np.int64)
-    got = got.take(pa.array(order[: 2 * sample_per_class])) if got.num_rows else got
+    got = got.take(pa.array(order)) if got.num_rows else got
     x = np.zeros((got.num_rows, TERMS), np.float32)
     for r, (t, v) in enumerate(zip(got["term"], got["value"], strict=True)):
         x[r, np.asarray(t.values)] = np.asarray(v.values)

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -165,6 +168,55 @@ def test_long_texts_have_the_same_shingles(step):
             assert wordhash.long_shingles(data, width, step).tolist() == np.unique(wordhash.shingle_hashes(want, first, width)[0]).tolist()
 
 
+@pytest.mark.parametrize("step", [1, 3, 50, 4096])
+def test_long_texts_have_the_same_terms(step):
+    for text in ["x", "One two two  2!", " ".join(mixed(60, 30, step)), "a" * 500 + " b c" * 200]:
+        data, off = arrowtext.string_buffers(pa.array([text]))
+        assert (quality.long_term_counts(data, step) == quality.term_counts(data, off)).all()
+
+
+def test_votes_are_those_of_all_neighbours():
+    g = np.random.default_rng(8)
+    texts = [" ".join(mixed(30, 12, i)) + " word" * int(g.integers(0, 40)) for i in range(400)]
+    terms = quality.term_counts(*arrowtext.string_buffers(pa.array(texts)))
+    v = quality.Voters(terms[:300], g.integers(0, 2, 300))
+    got, unit = v.score(terms[300:]), v._unit(terms[300:])
+    for x, s in zip(unit, got, strict=True):
+        cosine = sorted(((float(np.dot(x, y)), int(label)) for y, label in zip(v.vectors, v.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(0.0, min(1.0, c)) ** quality.SHARPNESS for c, _ in cosine]
+        assert abs(s - sum(w * label for w, (_, label) in zip(weight, cosine, strict=True)) / sum(weight)) < 1e-3
+
+
+def test_flac_of_long_texts(monkeypatch):
+    monkeypatch.setattr(flac, "LONG_FRAMES", 3)
+    r = random.Random(5)
+    for text in ["", "a" * 100, "".join(r.choices("abc \n", k=12288)), "".join(r.choices("abcé \n\x00", k=50_001)), "b" * 40_000]:
+        raw, off = arrowtext.string_buffers(pa.array([text]))
+        payload, at = flac.payloads(raw, off)
+        whole = flac.encode(payload, at)[0]
+        media, (n, sha, tail, feature) = flac.long_row(raw)
+        assert media == whole and n == len(payload) and sha == hashlib.sha256(payload.tobytes()).hexdigest()
+        assert tail == zlib.crc32(payload[-64:].tobytes()) and feature == flac.features(payload, at)[0]
+        bad = bytearray(media)
+        bad[-3] ^= 1
+        with pytest.raises((flac.FlacError, IndexError)):
+            list(flac.decode_long(bytes(bad)))
+
+
+@pytest.mark.parametrize("kernel", ["flac", "terms", "shingles", "bpe"])
+def test_a_text_of_50_mb_in_bounded_memory(kernel):
+    code = {
+        "flac": "from loomframe.llm import flac; flac.long_row(raw)",
+        "terms": "from loomframe.llm import quality; quality.term_counts(raw, np.array([0, len(raw)]))",
+        "shingles": "from loomframe.llm import wordhash; wordhash.long_shingles(raw, 5)",
+        "bpe": "from loomframe.llm import bpe; sum(map(len, bpe.word_bpe(bpe.default_path()).encode_pieces(raw)))",
+    }[kernel]
+    head = "import resource, numpy as np; g = np.random.default_rng(1); w = np.array([b'word%d ' % i for i in range(5000)]); raw = np.frombuffer(b''.join(w[g.integers(0, 5000, 6_000_000)]), np.uint8); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; "
+    out = subprocess.run([sys.executable, "-c", f"{head}{code}; print(len(raw) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)"], capture_output=True, text=True, check=True, timeout=600, cwd=Path(__file__).resolve().parents[2])
+    size, more = map(int, out.stdout.split())
+    assert size >= 40 and more < 600, (size, more)
+
+
 def test_local_roots():
     nodes, roots = components.local_roots(np.array([5, 3, 9, 2]), np.array([3, 1, 8, 2]))
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {1: 1, 2: 2, 3: 1, 5: 1, 8: 8, 9: 8}
