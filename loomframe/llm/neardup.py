@@ -39,6 +39,7 @@ from loomframe.llm import wordhash
 from loomframe.llm.arrowtext import slices, spans_gather, string_buffers
 from loomframe.llm.components import components
 from loomframe.llm.shared import Shared, membership, passes
+from loomframe.llm.textcut import free_name
 
 #: Shingles that come last in the order, as the most frequent; a bound on what is broadcast, not on what is linked.
 FREQUENT = 65_536
@@ -276,13 +277,14 @@ def tree_links(sets: Signatures, left: np.ndarray, right: np.ndarray | None, lin
 # -- tables ------------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: documents link when 100 * intersection >= percent * union of their shingle sets."""
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row (and text_hash, Spark's xxhash64 of the text): documents link when 100 * intersection >= percent * union of their shingle sets."""
     if not 1 <= percent <= 100 or width < 1:
         raise ValueError("percent is from 1 to 100, width at least 1")
     spark = df.sparkSession
     store = Shared(spark, "neardup")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,11 +312,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
                 bits = [bitmap(s, width_of(len(s), ROUTE_BITS)).tobytes() for s in sets]
                 cols = [part.column(0), pa.array(np.arange(number, number + len(sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], ["doc_id", "row", "n", "class", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), part.column(2)], ["doc_id", "row", "n", "class", "prefix", "bits", "text_hash"])
                 number += len(sets)
 
-    whole, whole_path = store.write(docs.mapInArrow(described, "doc_id long, row long, n long, class long, prefix array<long>, bits binary"))
-    rows = store.cut(whole.select("doc_id", "n", "class"))
+    whole, whole_path = store.write(hashed.mapInArrow(described, "doc_id long, row long, n long, class long, prefix array<long>, bits binary, text_hash long"))
+    rows = store.cut(whole.select("doc_id", "n", "class", *(["text_hash"] if with_hash else [])))
     # a class is known by its first row, which alone is routed (rows of a class have equal sets)
     classes = store.cut(whole.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")))
     heads, heads_path = store.write(whole.join(classes.select("class", "row"), ["class", "row"]).select("class", "n", "prefix", "bits"))
@@ -501,7 +503,19 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     first = found.join(classes, "class").groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = found.join(first, "root").select("class", "component_id")
     of_class = store.cut(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id")))
-    return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["text_hash"] if with_hash else []))
+
+
+def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: one of least id; a row without an id stays if none of its component has one. Of rows that
+    repeat id and text one stays, of rows that repeat an id each counts by its own text."""
+    own = free_name(df, "__near")
+    key, text = f"{own}key", f"{own}text"
+    # a row without an id gets a number beyond usual ids in its place
+    keyed = df.withColumn(text, F.xxhash64(text_col)).withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.col(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)))
+    found = near_duplicates(keyed.select(key, text_col), width, percent, key, text_col, with_hash=True)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    return keyed.join(kept, [key, text], "left_semi").dropDuplicates([key, text]).drop(key, text)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

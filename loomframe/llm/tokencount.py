@@ -1,13 +1,15 @@
 """Operator 8: token counts by batch encoding in Arrow functions that return lengths only.
 
-A text is split before each single space that stands between characters which are not white space. There
-no token of a byte-level vocabulary crosses: the pattern of words lets a space begin a word, never end one,
-and added tokens hold no space, so the counts of the pieces add up to the count of the whole text, however
-long. Pieces are made distinct per slice, pieces met for the first time are encoded by the library in
-batches of about BATCH_BYTES, and a bounded table keeps the counts that a worker has already.
-
-Defined results: a null or empty text has no bytes and no tokens; repeated rows are each counted; columns
-other than the id and the text are not read, so their names cannot clash.
+A text is split before each run of white space. There no token of a byte-level vocabulary crosses: the pattern
+of words lets white space begin a word, never end one, and added tokens hold none, so the counts of the pieces
+add up to the count of the whole text, however long. A piece of more than LONG_PIECE bytes, of a script without
+spaces say, is split as well where letters or digits end and something else begins, which ends a word too. Pieces
+are made distinct per slice, pieces met for the first time are encoded by the library in batches of about
+BATCH_BYTES, and a bounded table keeps the counts that a worker has already.
+
+Defined results: a null or empty text has no bytes and no tokens; a text of just the limit is not over it; an
+empty table gives no rows; repeated rows are each counted; ids may be null; a very long run of letters without end
+is encoded by the library at once; columns other than the id and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,13 @@ BATCH_BYTES = 1 << 18
 CACHE_PIECES = 500_000
 CACHE_PIECE_BYTES = 48
 
+#: Bytes of a piece beyond which it is split within, and where: after letters before what is none, after digits before what is none. An
+#: apostrophe may take letters after it into its word, so nothing is split after one.
+LONG_PIECE = 1 << 16
+WORD_END = regex.compile(r"(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])")
+#: White space for every library.
+_SURE = np.zeros(256, bool)
+_SURE[[0x09, 0x0A, 0x0D, 0x20]] = True
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 
@@ -53,8 +63,8 @@ def safe_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pieces of all texts begin; each text begins one, and no other piece is empty."""
     white = white_bytes(data)
     cut = np.zeros(len(data), bool)
-    if len(data) > 2:
-        cut[1:-1] = (data[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+    if len(data) > 1:
+        cut[1:] = (data[1:] <= 0x20) & _SURE[data[1:]] & ~white[:-1]
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(cut)
 
@@ -68,16 +78,44 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, int] = {}
-
-    def _encode(self, pieces: list[str]) -> list[int]:
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def _lengths(self, pieces: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _long(self, piece: str) -> int:
+        """Tokens of a long piece, in parts of about BATCH_BYTES characters that end where a word does; a special string is not parted."""
+        total = begin = 0
+        held = [m.span() for m in self.special.finditer(piece)] if self.special else []
+        at = begin + BATCH_BYTES
+        while at < len(piece):
+            m = WORD_END.search(piece, at)
+            if not m:
+                break
+            at = m.start() + 1
+            if any(a < m.start() < b for a, b in held):
+                continue
+            total += self._lengths([piece[begin : m.start()]])[0]
+            begin, at = m.start(), m.start() + BATCH_BYTES
+        return total + self._lengths([piece[begin:]])[0]
+
+    def _encode(self, pieces: list[str], sizes: list[int]) -> list[int]:
         out: list[int] = []
-        begin = size = 0
-        for i, p in enumerate(pieces):
-            size += len(p) + 8
-            if size >= BATCH_BYTES or i == len(pieces) - 1:
-                out += [len(e) for e in self.tokenizer.encode_batch_fast(pieces[begin : i + 1], add_special_tokens=False)]
-                begin, size = i + 1, 0
-        return out
+        batch: list[str] = []
+        size = 0
+        for p, n in zip(pieces, sizes, strict=True):
+            if size + n >= BATCH_BYTES and batch:
+                out += self._lengths(batch)
+                batch, size = [], 0
+            if n > LONG_PIECE:
+                out += self._lengths(batch)
+                batch, size = [], 0
+                out.append(self._long(p))
+            else:
+                batch.append(p)
+                size += n + 8
+        return out + self._lengths(batch)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
@@ -88,7 +126,8 @@ class Counter:
         pieces = coded.dictionary.to_pylist()
         known = [self.cache.get(p) for p in pieces]
         fresh = [i for i, x in enumerate(known) if x is None]
-        for i, n in zip(fresh, self._encode([pieces[i] for i in fresh]), strict=True):
+        sizes = np.diff(string_buffers(coded.dictionary)[1])[fresh].tolist() if fresh else []
+        for i, n in zip(fresh, self._encode([pieces[i] for i in fresh], sizes), strict=True):
             known[i] = n
             if len(self.cache) < CACHE_PIECES and len(pieces[i]) <= CACHE_PIECE_BYTES:
                 self.cache[pieces[i]] = n

@@ -83,9 +83,11 @@ def test_bpe_in_pieces_is_the_library(monkeypatch):
         assert row == {"doc_id": 1, "n_tokens": len(want), "ids_sha256": hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
 
 
-def test_token_counts_are_the_library():
+def test_token_counts_are_the_library(monkeypatch):
+    monkeypatch.setattr(tokencount, "BATCH_BYTES", 5000)
     c = tokencount.counter(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [*mixed(2000, 40, 2), "", None, "word " * 2000, " lead", "trail "]
+    texts = [*mixed(2000, 40, 2), "", None, "word " * 2000, " lead", "trail ", "a\n\nb \n c\r\nd \t", "\n x", "x\x1c y", "x \x1c y"]
+    texts += ["".join(random.Random(i).choices(["日本", "。", "a1", "don't", "'s", "'", "!!", "<|endoftext|>", "é", "½", "x"], k=40_000)) for i in range(3)]
     data, off = arrowtext.string_buffers(pa.array(texts))
     assert c.count(data, off).tolist() == [len(x) for x in c.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 

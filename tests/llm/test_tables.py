@@ -8,8 +8,10 @@ import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomframe.llm import ann, bpe, flac, neardup, packing, passages, pii, quality, sharding, tokencount
 
@@ -40,6 +42,39 @@ def test_odd_rows(spark, odd, empty):
     assert pii.redact(odd).filter("doc_id = 7").first().text == "Mail [EMAIL] or [PHONE], host 10.0.0.300 and [IP]"
 
 
+def test_packed_ids_are_the_library_s(spark):
+    texts = ["", None, "One two", "x" * 40_000, "word " * 9000, "naïve Ᲊ 日本"]
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    ids = [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    want = {(d, p): (4096 * p, len(x[4096 * p : 4096 * p + 4096]), zlib.crc32(np.array(x[4096 * p : 4096 * p + 4096], "<u4").tobytes())) for d, x in enumerate(ids) for p in range(-(-len(x) // 4096))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+
+
+def test_digests_are_those_of_the_texts(spark):
+    """The columns of op8, op9 and op10, each from the text alone."""
+    texts = ["", None, "a" * 64, "Some words, é 日本 <|endoftext|> 42\n" * 40, "x y " * 600]
+    df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int").repartition(2)
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for t in (word, byte):
+        t.no_truncation()
+        t.no_padding()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    counts, coded, media = ({r.doc_id: r for r in op(df).collect()} for op in (tokencount.count_tokens, bpe.encode_decode, lambda d: flac.media_column(d, keep_media=True)))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        n = len(byte.encode(t or "", add_special_tokens=False).ids)
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(raw), n, n > 512)
+        ids = word.encode(t or "", add_special_tokens=False).ids
+        assert (coded[i].n_tokens, coded[i].ids_sha256, coded[i].decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(word.decode(ids, skip_special_tokens=False).encode()))
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        m = media[i]
+        assert (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (m.media_bytes, m.media_sha256) == (len(m.media), sha(bytes(m.media))) and flac.decode([bytes(m.media)])[0].tobytes() == payload
+
+
 def test_packing(spark):
     r = random.Random(1)
     rows = [(i, " ".join(r.choice(["sun", "moon", "1"]) for _ in range(r.choice([3, 50, 900, 5000])))) for i in range(120)]
@@ -326,6 +361,29 @@ def test_quality_held_out(spark):
     assert (got[got.quality == 1].predicted == 1).mean() > 0.98
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empties, copies without ids, one id with two texts, columns whose names the operators use."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    words = lambda n: " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('klmn')}{r.randint(0, 99)}" for _ in range(n))
+    one, two, three = words(80), words(80), words(70)
+    texts = [(1, one), (1, one), (2, None), (3, ""), (None, two), (None, two), (None, one + " more"), (4, three), (5, words(40)), (5, one + " end"), (None, None), (6, "Mail a.b@c.org " + words(30)), (7, words(90) + " " + three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, __near string, __cut int").repartition(3)
+    labels = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert name == "packing" or stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS, name
+    kept = sorted(((r.doc_id, r.text) for r in labels["near_duplicates"](spark, docs, SF).collect()), key=str)
+    empties = [(2, None), (3, ""), (None, None)]
+    assert kept == sorted([(1, one), (None, two), (4, three), (5, texts[8][1]), (6, texts[11][1]), (7, texts[12][1]), *empties], key=str)
+    cut = labels["passages"](spark, docs.filter("doc_id in (4, 7)"), SF).collect()
+    assert {r.doc_id: r.text.strip() for r in cut} == {4: three, 7: texts[12][1][: -len(three)].strip()} and all(r.n_chars == len(r.text) for r in cut)
+    assert labels["personal_data"](spark, docs.filter("doc_id = 6"), SF).first().text.startswith("Mail [EMAIL] ")
+    assert labels["packing"](spark, docs, SF).count() == len(texts)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
