@@ -46,10 +46,10 @@ FREQUENT = 65_536
 #: Documents of one slice that must share a shingle for it to be counted as frequent.
 FREQUENT_IN_SLICE = 4
 SLICE_BYTES = 2 << 20
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Bits of a set's bitmap: a power of two, at least its shingles, within these bounds; a bitmap that travels with each routed shingle has
-#: ROUTE_BITS at most. Fewer bits rule out fewer pairs, and never one that is linked.
-LEAST_BITS, ROUTE_BITS, MOST_BITS = 256, 1 << 13, 1 << 17
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Bits of a set's bitmap: a power of two, at least BITS_EACH times its shingles, within these bounds; a bitmap that travels with each routed
+#: shingle has ROUTE_BITS at most. Fewer bits rule out fewer pairs, and never one that is linked.
+BITS_EACH, LEAST_BITS, ROUTE_BITS, MOST_BITS = 3, 512, 1 << 15, 1 << 17
 #: Classes of a bucket that one task connects; a larger bucket is dealt out by pairs of shingles.
 HOT = 2048
 #: Stands for the second shingle of sets that can be linked by one alone.
@@ -104,7 +104,7 @@ def bit_matrix(row: np.ndarray, col: np.ndarray, width: int, n: int) -> np.ndarr
 
 
 def width_of(n: int, most: int = MOST_BITS) -> int:
-    return min(most, max(LEAST_BITS, 1 << (n - 1).bit_length() if n else LEAST_BITS))
+    return min(most, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else LEAST_BITS))
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
