@@ -44,8 +44,8 @@ from loomframe.llm.textcut import free_name
 #: Shingles that come last in the order, as the most frequent; a bound on what is broadcast, not on what is linked.
 FREQUENT = 65_536
 #: Documents of one slice that must share a shingle for it to be counted as frequent.
-FREQUENT_IN_SLICE = 4
-SLICE_BYTES = 2 << 20
+FREQUENT_IN_SLICE = 3
+SLICE_BYTES = wordhash.STEP
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Bits of a set's bitmap: a power of two, at least BITS_EACH times its shingles, within these bounds; a bitmap that travels with each routed
 #: shingle has ROUTE_BITS at most. Fewer bits rule out fewer pairs, and never one that is linked.
@@ -55,10 +55,10 @@ HOT = 2048
 #: Stands for the second shingle of sets that can be linked by one alone.
 SMALL = np.uint64(0x5851F42D4C957F2D)
 FANOUT = 8
-#: Pairs compared at a time.
-PAIRS = 1 << 16
+#: Pairs, and bytes of their bitmaps, compared at a time.
+PAIRS, PAIR_BYTES = 1 << 16, 8 << 20
 #: Bytes of the exact bit matrix of a block's shingles; beyond, sorted sets are intersected pair by pair.
-MATRIX_BYTES = 64 << 20
+MATRIX_BYTES = 32 << 20
 
 
 def text_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -119,6 +119,11 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
+def at_once(bits: np.ndarray) -> int:
+    """Pairs of such bitmaps to compare at a time."""
+    return max(64, min(PAIRS, PAIR_BYTES // (8 * bits.shape[1])))
+
+
 # -- trees -------------------------------------------------------------------------------------------------------
 
 
@@ -162,8 +167,9 @@ class Signatures:
 
     def verify(self, a: np.ndarray, b: np.ndarray, links: list[tuple[int, int]]) -> None:
         """Links among pairs of members; pairs that are connected by now are passed over."""
-        for at in range(0, len(a), PAIRS):
-            i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+        step = at_once(self.bits)
+        for at in range(0, len(a), step):
+            i, j = a[at : at + step], b[at : at + step]
             apart = self.find(i) != self.find(j)
             i, j = i[apart], j[apart]
             keep = self.possible(i, j)
@@ -195,7 +201,7 @@ class Sets(Signatures):
                 if self.head(x) != self.head(y) and self.enough(len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)), self.size[x], self.size[y]):
                     self.join(x, y, links)
             return
-        step = max(1, (32 << 20) // (8 * self.exact.shape[1]))
+        step = at_once(self.exact)
         overlap = np.concatenate([np.bitwise_count(self.exact[i[k : k + step]] & self.exact[j[k : k + step]]).sum(1).astype(np.int64) for k in range(0, len(i), step)])
         hit = self.enough(overlap, self.size[i], self.size[j])
         super()._links(i[hit], j[hit], links)
@@ -238,8 +244,9 @@ def tree_links(sets: Signatures, left: np.ndarray, right: np.ndarray | None, lin
         bx, lowx, highx, cx = x.levels[lx]
         by, lowy, highy, cy = y.levels[ly]
         keep = np.ones(len(i), bool)
-        for at in range(0, len(i), PAIRS):
-            s = slice(at, at + PAIRS)
+        step = at_once(bx)
+        for at in range(0, len(i), step):
+            s = slice(at, at + step)
             a, b = i[s], j[s]
             common = np.bitwise_count(bx[a] & by[b]).sum(1).astype(np.int64)
             # a member has cx bits at least, of which no more than `common` can be shared: each other bit is a shingle apart
@@ -391,15 +398,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
         def solved(t: pa.Table) -> pa.RecordBatch:
             token, name = np.asarray(t["token"]), np.asarray(t["class"])
-            size, raw = np.asarray(t["n"]), t["bits"].to_pylist()
-            words = np.array([len(r) // 8 for r in raw])
+            size, (raw, off) = np.asarray(t["n"]), string_buffers(t["bits"].combine_chunks())
+            words = np.diff(off) // 8
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             ends = np.append(starts[1:], len(token))
             of = np.repeat(np.arange(len(starts)), ends - starts)
             links: list[tuple[int, int]] = []
             for w in np.unique(words).tolist():
                 rows = np.flatnonzero((words >= w) & (words <= w << doubled))
-                bits = np.stack([fold(np.frombuffer(raw[r], np.uint64)[None], w)[0] for r in rows])
+                bits = np.stack([fold(raw[off[r] : off[r + 1]].view(np.uint64)[None], w)[0] for r in rows.tolist()])
                 first = np.searchsorted(of[rows], np.arange(len(starts)), "left")
                 count = np.searchsorted(of[rows], np.arange(len(starts)), "right") - first
                 two = first[count == 2]

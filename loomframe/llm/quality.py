@@ -35,10 +35,10 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 SHARPNESS = 8
 #: Documents in a block of cosine products.
-BLOCK = 1024
+BLOCK = 256
 THRESHOLD = 0.3
 #: Bytes beyond which a text's terms are counted in steps.
-LONG = 4 << 20
+LONG = 2 << 20
 
 _WORD_TERMS = 256
 _KINDS = 40
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", wordhash.STEP):
                 x = term_counts(*string_buffers(part.column(1)))
                 i, j = np.nonzero(x)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(x)))]).astype(np.int32)
@@ -230,7 +230,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", wordhash.STEP):
                 score = voters.value.score(term_counts(*string_buffers(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -246,7 +246,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, names[at], 2 << 20):
+            for part in slices(batch, names[at], wordhash.STEP):
                 score = voters.value.score(term_counts(*string_buffers(part.column(at))))
                 yield part.filter(pa.array(score >= threshold))
 

@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Bytes of a long text that are read at a time.
-STEP = 1 << 20
+#: Bytes of text, or of a long text, that are hashed at a time: as many as the least table of powers is for.
+STEP = (1 << 20) - 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
