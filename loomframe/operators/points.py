@@ -197,7 +197,7 @@ class Points:
         if by is None:
             keys = [F.col(PNAME)]
         elif callable(by):
-            kind = _types_of([by(Vector(r, f._names)) for r in f._df.select(*f._cols).limit(1).collect()] or [0.0])[0]
+            kind = f._kind_of(f._df, lambda *v: by(Vector(v, f._names)), *map(F.col, f._cols))
             keys = [f._value_udf(lambda *v: by(Vector(v, f._names)), kind, *map(F.col, f._cols))]
         else:
             keys = [F.col(f"f{i}") for i in f._feature_indices(by)]
@@ -232,7 +232,7 @@ class Points:
         wide = isinstance(got, (list, tuple, Vector)) or hasattr(got, "tolist") and getattr(got, "ndim", 0)
         names, cols = part._names, [F.col(c) for c in part._cols]
         if not wide:
-            kind = _types_of([got.item() if hasattr(got, "item") else got])[0]
+            kind = part._kind_of(part._df, lambda *v: function(Vector(v, names)), *cols)
             kind = T.DoubleType() if isinstance(kind, T.LongType) else kind
             df = part._df.select(*part._keys, part._value_udf(lambda *v: function(Vector(v, names)), kind, *cols).alias("f0"))
             return part._with(df, [getattr(function, "__name__", None)], rows=part._rows)

@@ -507,16 +507,26 @@ class Frame:
         return out
 
     def _result_type(self, function, i: int) -> T.DataType:
-        """The type of a function's results, from some values of the feature."""
-        got = [function(r[0]) for r in self._df.select(f"f{i}").filter(F.col(f"f{i}").isNotNull()).limit(50).collect()]
-        kinds = {type(v.item() if hasattr(v, "item") else v) for v in got if v is not None}
-        if kinds <= {bool}:
-            return T.BooleanType()
-        if kinds <= {int, bool}:
+        """The type that holds all of a function's results on a feature's values."""
+        values = self._df.filter(F.col(f"f{i}").isNotNull())
+        return self._kind_of(values, function, F.col(f"f{i}"))
+
+    @staticmethod
+    def _kind_of(df: DataFrame, function: Callable, *cols: Column) -> T.DataType:
+        """The type that holds all results of a function of columns, each of which is looked at: no sample can miss one."""
+        kinds = {bool: "boolean", int: "bigint", float: "double"}
+
+        def kind(*values):
+            got = function(*values)
+            got = got.item() if hasattr(got, "item") else got
+            return None if got is None or got != got else kinds.get(type(got), "string")
+
+        found = {r[0] for r in df.select(Frame._value_udf(kind, T.StringType(), *cols).alias("kind")).distinct().collect()} - {None}
+        if found <= {"boolean"}:
+            return T.BooleanType() if found else T.DoubleType()
+        if found <= {"bigint", "boolean"}:
             return T.LongType()
-        if kinds <= {int, float, bool}:
-            return T.DoubleType()
-        return T.StringType()
+        return T.DoubleType() if "string" not in found else T.StringType()
 
     def transformElements(self, toTransform, points=None, features=None, preserveZeros: bool = False, skipNoneReturnValues: bool = False) -> None:
         """Replaces elements by a function of them or by a dictionary."""

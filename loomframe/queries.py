@@ -540,6 +540,177 @@ def _(spark, sf):
     return k_fold_plan(load(spark, sf, "supplier", "s_suppkey"), 7, 42).groupBy("fold").agg(F.count("*").alias("n"))
 
 
+# -- more verbs ----------------------------------------------------------------------------------------------------------------------------
+
+_TESTS = {"Zero": "{c} = 0", "NonZero": "{c} <> 0", "Positive": "{c} > 0", "Negative": "{c} < 0"}
+
+
+def _matched(name: str):
+    def run(spark, sf):
+        f = load(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal")
+        flags = f.matchingElements(getattr(lf.match, name), features=["c_nationkey", "c_acctbal"])
+        both, a, b = f._beside(flags)
+        return both.select(a[0].alias("c_custkey"), b[0].alias("n"), b[1].alias("b"))
+
+    return run
+
+
+def _any_all(name: str):
+    def run(spark, sf):
+        f = load(spark, sf, "customer", "c_nationkey", "c_acctbal")
+        return f.points.copy(getattr(lf.match, name)).to_spark()
+
+    return run
+
+
+for _t, _sql in _TESTS.items():
+    _n, _b = _sql.format(c="c_nationkey"), _sql.format(c="c_acctbal")
+    query(f"match_{_t[0].lower()}{_t[1:]}", f"SELECT c_custkey, {_n} AS n, {_b} AS b FROM customer")(_matched(_t[0].lower() + _t[1:]))
+    query(f"filter_any{_t}", f"SELECT c_nationkey, c_acctbal FROM customer WHERE {_n} OR {_b}")(_any_all(f"any{_t}"))
+    query(f"filter_all{_t}", f"SELECT c_nationkey, c_acctbal FROM customer WHERE {_n} AND {_b}")(_any_all(f"all{_t}"))
+
+for _t, _sql in {"anyMissing": "value IS NULL", "allMissing": "FALSE", "anyNonMissing": "TRUE", "allNonMissing": "value IS NOT NULL"}.items():
+    query(f"filter_{_t}", f"SELECT * FROM (SELECT event_id, {GAPS} AS value FROM events) WHERE {_sql}")(lambda spark, sf, t=_t: gapped(spark, sf).points.copy(getattr(lf.match, t)).to_spark())
+
+
+@query("points_extract", "SELECT o_orderkey, o_totalprice, o_totalprice > 200000 AS taken FROM orders")
+def _(spark, sf):
+    f = load(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    taken = f.points.extract("o_totalprice > 200000")
+    return taken.to_spark().withColumn("taken", F.lit(True)).unionByName(f.to_spark().withColumn("taken", F.lit(False)))
+
+
+@query("points_retain", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'")
+def _(spark, sf):
+    f = load(spark, sf, "orders", "o_orderkey", "o_orderstatus")
+    f.points.retain("o_orderstatus != O")
+    return f.to_spark()
+
+
+@query("points_insert", "SELECT CASE WHEN p < 5 THEN p WHEN own THEN p + 5 ELSE p END AS place, r_regionkey FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_nationkey AS r_regionkey, TRUE AS own FROM nation UNION ALL SELECT 4 + row_number() OVER (ORDER BY r_regionkey), r_regionkey, FALSE FROM region) WHERE NOT own OR p < 5 UNION ALL SELECT p + 5, k FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_nationkey AS k FROM nation) WHERE p >= 5")
+def _(spark, sf):
+    f = Frame.from_spark(spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("r_regionkey")), order=["r_regionkey"])
+    f.points.insert(5, load(spark, sf, "region", "r_regionkey", order=["r_regionkey"]))
+    return f.to_spark(pid=True).withColumnRenamed(PID, "place")
+
+
+@query("points_replace", "SELECT p AS place, CASE WHEN p = 2 THEN 77 WHEN p = 4 THEN 88 ELSE r_regionkey END AS r_regionkey FROM (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS p, r_regionkey FROM region)")
+def _(spark, sf):
+    f = load(spark, sf, "region", "r_regionkey", order=["r_regionkey"])
+    f.points.replace([[77], [88]], points=[2, 4], featureNames=["r_regionkey"])
+    return f.to_spark(pid=True).select(F.col(PID).alias("place"), F.col("r_regionkey").cast("long").alias("r_regionkey"))
+
+
+@query("points_permute", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS place, s_suppkey FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", order=["s_suppkey"])
+    f.points.permute()
+    places = f.to_spark(pid=True).select(F.col(PID).alias("place"), "s_suppkey")
+    f.points.sort("s_suppkey")
+    return places.select("place").join(f.to_spark(pid=True).select(F.col(PID).alias("place"), "s_suppkey"), "place")
+
+
+@query("points_transform", "SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 4) AS l_quantity FROM lineitem")
+def _(spark, sf):
+    f = load(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    f.points.transform(lambda p: [p[0], p[1], p[2] * 2])
+    return rounded(f.to_spark()).select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity")
+
+
+@query("points_matching", "SELECT s_suppkey, s_acctbal > 1000 AS hit FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", "s_acctbal")
+    both, a, b = f._beside(f.points.matching("s_acctbal > 1000"))
+    return both.select(a[0].alias("s_suppkey"), b[0].alias("hit"))
+
+
+@query("transform_function", "SELECT p_partkey, (CASE WHEN p_size > 25 THEN p_size / 2.0 ELSE p_size END)::DOUBLE AS p_size FROM part")
+def _(spark, sf):
+    f = load(spark, sf, "part", "p_partkey", "p_size")
+    f.transformElements(lambda v: v / 2 if v > 25 else v, features="p_size")
+    return rounded(f.to_spark())
+
+
+@query("features_extract", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, sf):
+    f = load(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    f.features.extract("o_orderstatus")
+    return f.to_spark()
+
+
+@query("features_append", "SELECT s_suppkey, s_acctbal, s_acctbal * 2 AS twice FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", "s_acctbal", order=["s_suppkey"])
+    more = f.features.copy("s_acctbal") * 2
+    more.features.setNames(["twice"])
+    f.features.append(more)
+    return f.to_spark()
+
+
+@query("features_insert", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", "s_acctbal", order=["s_suppkey"])
+    f.features.insert("s_acctbal", load(spark, sf, "supplier", "s_suppkey", "s_nationkey", order=["s_suppkey"]).features.copy("s_nationkey"))
+    return f.to_spark()
+
+
+@query("features_sort", "SELECT c_acctbal, c_custkey, c_nationkey FROM customer")
+def _(spark, sf):
+    f = load(spark, sf, "customer", "c_nationkey", "c_custkey", "c_acctbal")
+    f.features.sort()
+    return f.to_spark()
+
+
+@query("features_matching", "SELECT 'c_acctbal' AS feature, min(c_acctbal) < 0 AS hit FROM customer UNION ALL SELECT 'c_custkey', min(c_custkey) < 0 FROM customer")
+def _(spark, sf):
+    got = load(spark, sf, "customer", "c_acctbal", "c_custkey").features.matching(lf.match.anyNegative)
+    return got.to_spark().select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("boolean").alias("hit")) for c in ("c_acctbal", "c_custkey")])).alias("r")).select("r.feature", "r.hit")
+
+
+@query("flatten", "SELECT sum(r_regionkey * (2 * r_regionkey + 1))::BIGINT AS a, count(*) * 2 AS n FROM region")
+def _(spark, sf):
+    f = Frame.from_spark(spark.read.parquet(f"{sf}/region.parquet").select(F.lit(0).cast("long").alias("zero"), "r_regionkey"), order=["r_regionkey"])
+    f.flatten()
+    cols = f._cols
+    total = F.lit(0)
+    for i, c in enumerate(cols):
+        total = total + F.col(c) * i
+    return f._df.select(total.cast("long").alias("a"), F.lit(len(cols)).cast("long").alias("n"))
+
+
+@query("replace_rectangle", "SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 3 AND 7 THEN -1 ELSE n_regionkey END AS n_regionkey FROM nation")
+def _(spark, sf):
+    f = load(spark, sf, "nation", "n_nationkey", "n_regionkey", order=["n_nationkey"])
+    f.replaceRectangle(-1, 3, "n_regionkey", 7, "n_regionkey")
+    return f.to_spark().select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+def _logical(op):
+    def run(spark, sf):
+        f = load(spark, sf, "customer", "c_custkey", "c_acctbal")
+        a, b = (f.matchingElements(q, features="c_acctbal") for q in ("> 1000", "< 5000"))
+        both, x, y = f._beside(op(a, b))
+        return both.select(x[0].alias("c_custkey"), y[0].cast("boolean").alias("v"))
+
+    return run
+
+
+for _n, (_op, _sql) in {"and": (lambda a, b: a & b, "c_acctbal > 1000 AND c_acctbal < 5000"), "or": (lambda a, b: a | b, "c_acctbal > 1000 OR c_acctbal < 5000"), "xor": (lambda a, b: a ^ b, "(c_acctbal > 1000) <> (c_acctbal < 5000)"), "invert": (lambda a, b: ~a, "NOT c_acctbal > 1000")}.items():
+    query(f"logical_{_n}", f"SELECT c_custkey, {_sql} AS v FROM customer")(_logical(_op))
+
+for _m, _sql in {
+    "truePositive": "(count(*) FILTER (k = 1 AND p = 1))::DOUBLE", "trueNegative": "(count(*) FILTER (k <> 1 AND p <> 1))::DOUBLE", "falsePositive": "(count(*) FILTER (k <> 1 AND p = 1))::DOUBLE", "falseNegative": "(count(*) FILTER (k = 1 AND p <> 1))::DOUBLE",
+    "balancedAccuracy": "(count(*) FILTER (k = 1 AND p = 1) / count(*) FILTER (k = 1) + count(*) FILTER (k <> 1 AND p <> 1) / count(*) FILTER (k <> 1)) / 2",
+}.items():
+    query(f"metric_{_m}", f"SELECT round({_sql}, 6) AS value FROM (SELECT quality AS k, toxic AS p FROM labels)")(_metric(_m))
+
+for _n, (_op, _sql) in {
+    "radd": (lambda a, b: 3 + a, "3 + l_quantity"), "rsub": (lambda a, b: 3 - a, "3 - l_quantity"), "rmul": (lambda a, b: 3 * a, "3 * l_quantity"), "rtruediv": (lambda a, b: 3 / a, "3 / l_quantity"),
+    "neg": (lambda a, b: -a, "-l_quantity"), "abs": (lambda a, b: abs(a - 25), "abs(l_quantity - 25)"), "truediv": (lambda a, b: b / a, "l_tax / l_quantity"),
+}.items():
+    query(f"elementwise_{_n}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 4) AS v FROM lineitem")(_arithmetic(_op))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Large quantities, grouped by flag and status: a query string, then one aggregation."""
     f = load(spark, sf, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice").points.copy("l_quantity > 45")

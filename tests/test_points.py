@@ -128,3 +128,19 @@ def test_empty_table():
     assert f.shape == (0, 3) and not f
     f.points.append(grid())
     assert f.shape == (3, 3)
+
+
+def test_types_of_results_that_come_late():
+    f = lf.data([[i] for i in range(300)], featureNames=["a"])
+    assert rows(f.calculateOnElements(lambda v: v / 2 if v == 299 else v))[-1] == [149.5]
+    assert rows(f.calculateOnElements(lambda v: "last" if v == 299 else v))[-1] == ["last"]
+    assert rows(f.points.calculate(lambda p: 0.5 if p[0] == 299 else p[0]))[-1] == [0.5]
+    f.points.sort(lambda p: -p[0] + (0.25 if p[0] == 7 else 0))
+    assert rows(f)[0] == [299] and rows(f)[-8:-6] == [[7], [6]]
+
+
+def test_directional_fills_raise_at_the_end_that_they_fill_from():
+    for fill, values in ((lf.fill.backwardFill, [1, 2, None]), (lf.fill.forwardFill, [None, 2, 3])):
+        f = lf.data([[v] for v in values], featureNames=["a"])
+        with pytest.raises(InvalidArgumentValue):
+            f.features.fillMatching(fill, lf.match.missing)
