@@ -197,8 +197,9 @@ class Points:
         if by is None:
             keys = [F.col(PNAME)]
         elif callable(by):
-            kind = f._kind_of(f._df, lambda *v: by(Vector(v, f._names)), *map(F.col, f._cols))
-            keys = [f._value_udf(lambda *v: by(Vector(v, f._names)), kind, *map(F.col, f._cols))]
+            names = f._names  # the function goes to the workers, the frame cannot
+            key = lambda *v: by(Vector(v, names))
+            keys = [f._value_udf(key, f._kind_of(f._df, key, *map(F.col, f._cols)), *map(F.col, f._cols))]
         else:
             keys = [F.col(f"f{i}") for i in f._feature_indices(by)]
         null_last = [x for k in keys for x in ((k.isNull() if not reverse else k.isNotNull()), k)]

@@ -257,11 +257,14 @@ class Frame:
 
     @staticmethod
     def _value_udf(f: Callable, kind: T.DataType, *cols: Column) -> Column:
+        made = {T.StringType: str, T.LongType: int, T.DoubleType: float}.get(type(kind), lambda v: v)  # results of several types become the one that holds all
+
         def run(*series):
             import pandas as pd
 
             none = lambda v: None if v is None or v != v or v is pd.NaT else v.item() if hasattr(v, "item") else v
-            return pd.Series([f(*(none(v) for v in row)) for row in zip(*series, strict=True)], dtype=object)
+            got = (f(*(none(v) for v in row)) for row in zip(*series, strict=True))
+            return pd.Series([None if v is None else made(v) for v in got], dtype=object)
 
         return F.pandas_udf(run, kind)(*cols)
 
