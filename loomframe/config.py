@@ -71,6 +71,17 @@ def loadSettings(path: str | None = None) -> SessionConfiguration:
     return SessionConfiguration(path)
 
 
+def setInterfaceOptions(interface, save: bool = False) -> None:
+    """Gives each option of a package of learners a place in the settings, empty where it has no value; saved on demand."""
+    section = interface.getCanonicalName()
+    known = settings.get(section)
+    for option in interface.optionNames():
+        if option not in known:
+            settings.set(section, option, "")
+        if save:
+            settings.saveChanges(section, option)
+
+
 def showAvailablePackages() -> dict[str, bool]:
     """Optional packages and whether they are there."""
     found = {p: importlib.util.find_spec(p) is not None for p in ("pyspark", "numpy", "pandas", "pyarrow", "matplotlib", "h5py")}

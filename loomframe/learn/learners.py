@@ -8,11 +8,12 @@ import os
 import time
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe import log
-from loomframe.exceptions import InvalidArgumentValue, InvalidArgumentValueCombination
+from loomframe.exceptions import InvalidArgumentValue, InvalidArgumentValueCombination, PackageException
 from loomframe.functions import calculate as C
 from loomframe.operators.verbs import _beside
 from loomframe.plans.frame import PID, Frame, session
@@ -118,56 +119,96 @@ def linear(X: Frame, w: np.ndarray, start) -> Frame:
     return X._with(X._df.select(*X._keys, *cols), [None] * w.shape[1], rows=X._rows)
 
 
+def nearest(t: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each point of t the places in x of the k nearest, nearest first, of equals the first, and their squared
+    distances. Products choose candidates, differences decide; steps of at most 4,000,000 distances."""
+    out, square = [], (x * x).sum(1)
+    step = max(1, 4_000_000 // max(1, len(x)))
+    for at in range(0, len(t), step):
+        part = t[at : at + step]
+        own = (part * part).sum(1)
+        far = own[:, None] + square - 2 * part @ x.T
+        edge = np.partition(far, k - 1, 1)[:, k - 1] if k < len(x) else np.full(len(part), np.inf)
+        slack = 1e-9 * (own + square.max(initial=0.0))
+        for row, p, e in zip(far, part, edge + slack, strict=True):
+            some = np.flatnonzero(row <= e)
+            exact = ((x[some] - p) ** 2).sum(1)
+            best = np.argsort(exact, kind="stable")[:k]
+            out.append((some[best], exact[best]))
+    return out
+
+
 class KNNClassifier(CustomLearner):
-    """The most frequent label of the k nearest points; of several the nearest point's. Training points are broadcast
-    (TRAIN_MOST cells at most), and blocks of test points are compared with all of them."""
+    """The most frequent label of the k nearest points; of several the nearest point's. Training points of BLOCK cells
+    at most are broadcast; more are dealt into blocks, which lots of test points meet one by one, and each point's k
+    nearest of every block are ranked again. Both ways give the same labels."""
 
     learnerType = "classification"
-    TRAIN_MOST = 20_000_000
+    BLOCK, LOT = 20_000_000, 20_000
 
     def train(self, trainX, trainY, k: int = 5):
         n, p = trainX.shape
-        if n * p > self.TRAIN_MOST:
-            raise InvalidArgumentValueCombination(f"more than {self.TRAIN_MOST} cells to train on")
         df, x, y = _beside(trainX, trainY)
-        got = df.orderBy(PID).select(*[c.alias(f"x{i}") for i, c in enumerate(x)], y[0].alias("y")).toPandas()
-        self.x, self.y, self.k = got.drop(columns="y").to_numpy(float), got["y"].tolist(), k
-        self.kind = trainY._types[0]
-
-    def _votes(self, testX: Frame):
+        cols = [c.cast("double").alias(f"x{i}") for i, c in enumerate(x)]
+        self.k, self.kind, self.n, self.width = min(k, n), trainY._types[0], n, p
+        if n * p > self.BLOCK:
+            self._train = df.select(F.col(PID).alias("place"), *cols, y[0].alias("label"))
+            return
+        got = df.orderBy(PID).select(*cols, y[0].alias("y")).toPandas()
+        self.x, self.y = got.drop(columns="y").to_numpy(float), got["y"].tolist()
+
+    def _near(self, testX: Frame):
+        """A row for each test point: the labels of its nearest points, nearest first."""
+        k, cols = self.k, testX._cols
+        test = testX._df.select(PID, *[F.col(c).cast("double").alias(c) for c in cols])
+        if hasattr(self, "_train"):
+            return self._near_blocks(test, testX._count())
         held = session().sparkContext.broadcast((self.x, self.y))
-        k, cols = min(self.k, len(self.y)), testX._cols
 
         def run(batches):
             import pandas as pd
 
             x, y = held.value
-            square = (x * x).sum(1)
             for b in batches:
-                t = b[cols].to_numpy(float)
-                far = (t * t).sum(1)[:, None] + square - 2 * t @ x.T
-                near = np.argsort(far, 1, kind="stable")[:, :k]
-                out = []
-                for pid, row in zip(b[PID], near, strict=True):
-                    votes: dict = {}
-                    for i in row:
-                        votes[y[i]] = votes.get(y[i], 0) + 1
-                    best = max(votes.values())
-                    tied = [v for v, n in votes.items() if n == best]
-                    out.append((pid, tied[0] if len(tied) == 1 else y[row[0]] if y[row[0]] in tied else tied[0], json.dumps([[v, n] for v, n in votes.items()])))
-                yield pd.DataFrame(out, columns=[PID, "label", "votes"])
-
-        schema = T.StructType([T.StructField(PID, T.LongType()), T.StructField("label", self.kind), T.StructField("votes", T.StringType())])
-        return testX._df.select(PID, *cols).mapInPandas(run, schema)
+                yield pd.DataFrame({PID: b[PID], "labels": [[y[i] for i in near] for near, _ in nearest(b[cols].to_numpy(float), x, k)]})
+
+        schema = T.StructType([T.StructField(PID, T.LongType()), T.StructField("labels", T.ArrayType(self.kind))])
+        return test.mapInPandas(run, schema)
+
+    def _near_blocks(self, test, rows: int):
+        k, width = self.k, self.width
+        blocks, lots = -(-self.n * width // self.BLOCK), -(-rows // self.LOT)
+        # each lot of test points meets each block of training points once, in a task of its own
+        t = test.withColumn("lot", F.pmod(F.xxhash64(PID), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        x = self._train.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        features, coords = [c for c in test.columns if c != PID], [f"x{i}" for i in range(width)]
+        schema = T.StructType([T.StructField(PID, T.LongType()), T.StructField("far", T.DoubleType()), T.StructField("place", T.LongType()), T.StructField("label", self.kind)])
+
+        def meet(a, b):
+            import pandas as pd
+
+            if not len(a) or not len(b):
+                return pd.DataFrame({PID: [], "far": [], "place": [], "label": []})
+            b = b.sort_values("place", ignore_index=True)
+            got = nearest(a[features].to_numpy(float), b[coords].to_numpy(float), min(k, len(b)))
+            at = np.concatenate([i for i, _ in got])
+            return pd.DataFrame({PID: np.repeat(a[PID].to_numpy(), [len(i) for i, _ in got]), "far": np.concatenate([d for _, d in got]), "place": b["place"].to_numpy()[at], "label": b["label"].to_numpy()[at]})
+
+        met = t.groupBy("lot", "block").cogroup(x.groupBy("lot", "block")).applyInPandas(meet, schema)
+        first = met.withColumn("r", F.row_number().over(Window.partitionBy(PID).orderBy("far", "place"))).filter(F.col("r") <= k)
+        return first.groupBy(PID).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda s: s["label"]).alias("labels"))
 
     def apply(self, testX):
-        return testX._with(self._votes(testX).select(PID, F.col("label").alias("f0")), ["labels"], rows=testX._rows)
+        votes = F.transform(F.array_distinct("labels"), lambda v: F.struct(F.size(F.filter("labels", lambda x: x.eqNullSafe(v))).alias("n"), v.alias("v")))
+        most = F.array_max(F.transform("votes", lambda c: c["n"]))
+        label = F.get(F.filter("votes", lambda c: c["n"] == F.col("most")), F.lit(0))["v"]
+        df = self._near(testX).withColumn("votes", votes).withColumn("most", most)
+        return testX._with(df.select(PID, label.alias("f0")), ["labels"], rows=testX._rows)
 
     def getScores(self, testX):
-        labels = sorted(set(self.y))
-        votes = F.from_json("votes", "array<array<string>>")
-        share = lambda v: F.coalesce(F.get(F.filter(votes, lambda x: x[0] == F.lit(str(v))), 0)[1].cast("double") / min(self.k, len(self.y)), F.lit(0.0))
-        return testX._with(self._votes(testX).select(PID, *[share(v).alias(f"f{i}") for i, v in enumerate(labels)]), [str(v) for v in labels], rows=testX._rows)
+        labels = sorted(set(self.y) if hasattr(self, "y") else (r[0] for r in self._train.select("label").distinct().collect()))
+        share = lambda v: F.size(F.filter("labels", lambda x: x.eqNullSafe(F.lit(v)))) / F.lit(float(self.k))
+        return testX._with(self._near(testX).select(PID, *[share(v).alias(f"f{i}") for i, v in enumerate(labels)]), [str(v) for v in labels], rows=testX._rows)
 
 
 class KNNImputation(CustomLearner):
@@ -180,7 +221,7 @@ class KNNImputation(CustomLearner):
             raise InvalidArgumentValue("mode is 'classification' or 'regression'")
         self.k, self.mode = k, mode
         n, p = trainX.shape
-        if n * p > KNNClassifier.TRAIN_MOST:
+        if n * p > KNNClassifier.BLOCK:
             raise InvalidArgumentValueCombination("too many cells to train on")
         self.x = np.array([[np.nan if v is None else v for v in r] for r in trainX._rows_list()], float)
 
@@ -246,6 +287,8 @@ def find(name):
         for full, learner in table.items():
             if name in (full, full.split(".", 1)[1]):
                 return learner
+    if name.split(".")[0] in ("sklearn", "keras", "autoimpute"):
+        raise PackageException(f"learners of {name.split('.')[0]} are not passed through; those of Spark ML are: {learnerNames('spark')}")
     raise InvalidArgumentValue(f"no learner {name!r}; there are {learnerNames()}")
 
 
@@ -375,12 +418,14 @@ class TrainedLearner:
         if isinstance(testY, (str, int)):
             at = testX._feature_index(testY)
             testX, testY = testX._select([i for i in range(len(testX._names)) if i != at]), testX._select([at])
-        got = self.apply(testX, arguments, **kwarguments)
-        return performanceFunction(testY, got)
+        result = performanceFunction(testY, self.apply(testX, arguments, **kwarguments))
+        log.active.logTLRun(None, self, "test", self.arguments | (arguments or {}) | kwarguments, result)
+        return result
 
     def retrain(self, trainX, trainY=None, arguments=None, randomSeed=None, **kwarguments) -> None:
         self.arguments = self.arguments | (arguments or {}) | kwarguments
         self._fit(trainX, trainY, self.arguments)
+        log.active.logTLRun(None, self, "retrain", self.arguments)
 
     def incrementalTrain(self, trainX, trainY=None, arguments=None, randomSeed=None) -> None:
         if isinstance(self._learner, SparkLearner):
@@ -396,6 +441,8 @@ class TrainedLearner:
         state = {"learner": self.learnerName, "arguments": self.arguments, "labels": getattr(self, "_labels", None)}
         if isinstance(self._learner, SparkLearner):
             self._model.write().overwrite().save(f"file://{os.path.abspath(outputPath)}/model")
+        elif hasattr(self._model, "_train"):
+            raise InvalidArgumentValue("training points beyond a block stay a table; save that table instead")
         else:
             state["state"] = {k: (v.tolist() if isinstance(v, np.ndarray) else v.json() if isinstance(v, T.DataType) else v) for k, v in vars(self._model).items()}
         with open(os.path.join(outputPath, "learner.json"), "w") as f:
@@ -407,6 +454,7 @@ def loadTrainedLearner(source: str, arguments=None, **kwarguments) -> TrainedLea
         state = json.load(f)
     out = TrainedLearner(state["learner"], state["arguments"] | (arguments or {}) | kwarguments)
     out._labels = state["labels"]
+    log.active.logTrainedLearner(None, out)
     if isinstance(out._learner, SparkLearner):
         from pyspark.ml.util import DefaultParamsReader
 

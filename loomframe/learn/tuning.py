@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomframe import log
 from loomframe import random as R
 from loomframe.exceptions import InvalidArgumentValue, InvalidArgumentValueCombination
 from loomframe.functions.calculate import detectBestResult
@@ -108,6 +109,7 @@ class CrossValidator(Validator):
                 f._densify()
             out = train(self.learnerName, trainX, trainY, args, randomSeed=self.randomSeed).apply(testX)
             self.deep.append(self.performanceFunction(testY, out))
+            log.active.logDeepRun(None, type(self).__name__, self.learnerName, args, self.deep[-1])
             known.append(testY)
             got.append(out)
         return self.performanceFunction(_joined(known), _joined(got))

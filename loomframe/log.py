@@ -57,6 +57,17 @@ class SessionLogger:
     def logRun(self, useLog, function, learner, arguments, metrics=None, seconds=None) -> None:
         handleLogging(useLog, "run", {"function": function, "learner": str(learner), "arguments": str(arguments), "metrics": metrics, "time": seconds})
 
+    def logTrainedLearner(self, useLog, obj) -> None:
+        handleLogging(useLog, "tl", {"learner": obj.learnerName, "arguments": str(obj.arguments)})
+
+    def logDeepRun(self, useLog, function, learner, arguments, metrics=None, seconds=None) -> None:
+        """A run within a validation: only where deep logging is on too."""
+        if deepLoggingEnabled():
+            handleLogging(useLog, "deepRun", {"function": function, "learner": str(learner), "arguments": str(arguments), "metrics": metrics, "time": seconds})
+
+    def logTLRun(self, useLog, trained, method, arguments, metrics=None, seconds=None) -> None:
+        handleLogging(useLog, "run", {"function": f"TrainedLearner.{method}", "learner": trained.learnerName, "arguments": str(arguments), "metrics": metrics, "time": seconds})
+
     def logTuning(self, useLog, selector, validator) -> None:
         handleLogging(useLog, "tuning", {"selection": str(selector), "validation": str(validator)})
 
@@ -77,7 +88,7 @@ class SessionLogger:
         if searchForText is not None:
             hit = re.compile(searchForText if regex else re.escape(searchForText))
             rows = [r for r in rows if hit.search(" ".join(map(str, r)))]
-        level = {1: ("load", "log"), 2: ("load", "log", "prep", "data", "seed", "run"), 3: None}[levelOfDetail]
+        level = {1: ("load", "log"), 2: ("load", "log", "prep", "data", "seed", "run", "tl"), 3: None}[levelOfDetail]
         text = "\n".join(f"{t} session {s} {k}: {i}" for t, s, k, i in rows[:maximumEntries][::-1] if level is None or k in level)
         if saveToFileName:
             with open(saveToFileName, "a" if append else "w") as f:

@@ -41,7 +41,7 @@ def merge(self: Frame, other: Frame, point: str = "strict", feature: str = "unio
     self._rebind(merged)
 
 
-def merged_plan(left: Frame, right: Frame, point: str, feature: str, onFeature, force: bool, check: bool = True) -> Frame:
+def merged_plan(left: Frame, right: Frame, point: str, feature: str, onFeature, force: bool) -> Frame:
     if onFeature is not None:
         i, j = left._feature_index(onFeature), right._feature_index(onFeature)
         lk, rk = F.col(f"f{i}"), F.col(f"f{j}")
@@ -99,7 +99,7 @@ def merged_plan(left: Frame, right: Frame, point: str, feature: str, onFeature,
     name = [F.coalesce(*[c for c, has in (("__ln", left._named), ("__rn", right._named)) if has]).alias(PNAME)] if onFeature is None and (left._named or right._named) else []
     order = [key.isNull(), key, F.coalesce("__l", F.lit(2**62)), F.coalesce("__r", F.lit(2**62))] if point == "union" and onFeature is not None else [F.coalesce("__l", F.lit(2**62)), F.coalesce("__r", F.lit(2**62))]
     out = both.select(F.struct(*order).alias("__o"), *name, *[c.alias(f"f{k}") for k, c in enumerate(cols)])
-    df = ranked(out, [F.col("__o")], PID, max(1, (left._count() + right._count())) if check else 1)
+    df = ranked(out, [F.col("__o")], PID, max(1, left._count() + right._count()))
     return left._with(df.select(PID, *([PNAME] if name else []), *[f"f{k}" for k in range(len(cols))]), names, dense=True)
 
 
@@ -196,13 +196,7 @@ def integer_codes(df: DataFrame, column: str, numeric: bool) -> DataFrame:
     """value and code of each value, by first appearance; zero has code 0."""
     first = df.groupBy(F.col(column).alias("value")).agg(F.min(PID).alias("p"))
     zero = F.when(F.col("value") == 0, 0).otherwise(1) if numeric else F.lit(1)
-    return first.select("value", (F.row_number().over(_all(zero, F.col("p"))) - 1).cast("long").alias("code"))
-
-
-def _all(*order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(*order)
+    return ranked(first, [zero, F.col("p")], "code", first.count()).select("value", "code")
 
 
 def transformFeatureToIntegers(self: Frame, featureToConvert) -> dict:

@@ -57,14 +57,21 @@ def ranked(df: DataFrame, order: list[Column], out: str, rows: int, reverse: boo
     edges = edges[:: max(1, len(edges) // parts)][1:]
     cuts = session().createDataFrame([(i + 1, e["__key"]) for i, e in enumerate(edges)], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("k", keyed.schema["__key"].dataType)]))
     ends = cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda s: s["k"]).alias("__ends"))  # one row of a bounded array
-    keyed = keyed.crossJoin(F.broadcast(ends)).withColumn("__range", F.size(F.filter("__ends", lambda e: e <= F.col("__key")))).drop("__ends")
+    keyed = keyed.crossJoin(F.broadcast(ends)).withColumn("__range", _bisected(F.col("__ends"), F.col("__key"), len(edges))).drop("__ends")
     counts = dict(map(tuple, keyed.groupBy("__range").count().collect()))
-    first, total = {}, 0
+    first, total = [], 0
     for r in sorted(counts, reverse=reverse):
-        first[r], total = total, total + counts[r]
-    starts = F.create_map(*[F.lit(int(v)) for kv in first.items() for v in kv])
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1 + F.element_at(starts, F.col("__range"))
-    return keyed.withColumn(out, place.cast("long")).drop("__key", "__range")
+        first.append((r, total))
+        total += counts[r]
+    placed = keyed.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1)
+    starts = session().createDataFrame(first, "__range int, __start long")  # one row of two numbers for each task
+    return placed.join(F.broadcast(starts), "__range").withColumn(out, F.col("__in") + F.col("__start")).drop("__key", "__range", "__in", "__start")
+
+
+def _bisected(cuts: Column, key: Column, n: int) -> Column:
+    """How many of n sorted cuts are not above the key (none, for a missing key), in the logarithm of n comparisons."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= n) & (F.get(cuts, low + s - 1) <= key), low + s).otherwise(low))
 
 
 def no_nan(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -453,8 +460,12 @@ class Frame:
 
     __hash__ = None
 
-    def hashCode(self) -> float:
-        """A number that frames of equal content share: the mean over cells of the value times a wave of its place."""
+    def hashCode(self) -> int:
+        """A whole number from 0 and below 10**9 that frames of equal content share."""
+        return round(1_000_000_000 * self._fingerprint()) % 1_000_000_000
+
+    def _fingerprint(self) -> float:
+        """The mean over cells of the value times a wave of its place; sums in other orders differ beyond the digits kept."""
         self._densify()
         n, p = self.shape
         if not n or not p:
@@ -466,7 +477,7 @@ class Frame:
         return round(self._df.agg(F.sum(total)).first()[0] / (n * p), 6)
 
     def isApproximatelyEqual(self, other) -> bool:
-        return self.shape == other.shape and abs(self.hashCode() - other.hashCode()) < 1e-4
+        return self.shape == other.shape and abs(self._fingerprint() - other._fingerprint()) < 1e-4
 
     def checkInvariants(self, level: int = 2) -> None:
         assert set(self._df.columns) >= {PID, *self._cols} and len(set(self._names) - {None}) == len([n for n in self._names if n is not None])

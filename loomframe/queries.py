@@ -520,7 +520,13 @@ def _(spark, sf):
     return one_row(spark, w=round(float(model.getAttributes()["w"][0][0]), 4))
 
 
-@query("knn_classify", None)
+_NEAR = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS p FROM embeddings),
+n AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.p) AS r FROM e a, e b QUALIFY r <= 5),
+c AS (SELECT vec_id, label, count(*) AS n, min(r) AS f FROM n GROUP BY ALL)
+SELECT vec_id, label AS predicted FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, f) = 1"""
+
+
+@query("knn_classify", _NEAR)
 def _(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     f = Frame.from_spark(e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]), order=["vec_id"])

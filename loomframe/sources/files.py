@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-import glob
 import os
-import shutil
 import tarfile
 import tempfile
 import zipfile
@@ -13,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.config import settings
 from loomframe.exceptions import FileFormatException, ImproperObjectAction, InvalidArgumentValue, PackageException
 from loomframe.plans.frame import PID, PNAME, Frame, no_nan, ranked, session
 from loomframe.sources.memory import DEFAULT_MISSING, data
@@ -25,7 +24,7 @@ def _local(path: str) -> str:
 
 
 def fetchFiles(source, overwrite: bool = False) -> list[str]:
-    """Local paths of files; archives are unpacked beside a temporary folder."""
+    """Local paths of files; archives are unpacked into a folder of their own (see `unpack`)."""
     path = _local(str(source))
     if os.path.isdir(path):
         return sorted(os.path.join(path, p) for p in os.listdir(path))
@@ -37,7 +36,10 @@ def fetchFiles(source, overwrite: bool = False) -> list[str]:
 
 
 def unpack(path: str) -> list[str]:
-    to = tempfile.mkdtemp()
+    """Unpacks where the setting fetch.location says; unset, into a temporary folder of a local session, and beside
+    the archive otherwise, since executors read the files."""
+    beside = None if session().sparkContext.master.startswith("local") else os.path.dirname(path)
+    to = tempfile.mkdtemp(dir=settings.get("fetch", "location") or beside)
     if zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as z:
             z.extractall(to)
@@ -224,9 +226,12 @@ def save(frame: Frame, outPath: str, fileFormat: str | None, includeNames: bool)
         out = ordered.select(*cols)
         if n * p > 10_000_000:
             return out.write.mode("overwrite").option("header", header).csv(outPath)
-        to = tempfile.mkdtemp()
-        out.coalesce(1).write.mode("overwrite").option("header", header).csv(f"file://{to}/x")
-        shutil.move(glob.glob(f"{to}/x/part-*.csv")[0], outPath)
+        # lines come to the driver a partition at a time: executors may not see its disk
+        with open(outPath, "w", encoding="utf-8", newline="") as f:
+            if header:
+                csv.writer(f, lineterminator="\n").writerow(out.columns)
+            for r in out.select(F.to_csv(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in out.columns])).alias("line")).toLocalIterator():
+                f.write(r["line"] + "\n")
         return None
     if kind == "mtx":
         cells = [(i + 1, j + 1, float(v)) for i, r in enumerate(frame._rows_list()) for j, v in enumerate(r) if v]
