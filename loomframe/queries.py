@@ -717,6 +717,220 @@ for _n, (_op, _sql) in {
     query(f"elementwise_{_n}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 4) AS v FROM lineitem")(_arithmetic(_op))
 
 
+# -- whole-table and typed matchers, linear algebra, validation, files, streams --------------------------------------------------------
+
+
+@query("calculate_on_elements", "SELECT p_partkey * 2 AS p_partkey, p_size * 2 AS p_size FROM part")
+def _(spark, sf):
+    return load(spark, sf, "part", "p_partkey", "p_size").calculateOnElements(lambda v: v * 2).to_spark()
+
+
+@query("contains_zero", "SELECT (SELECT count(*) > 0 FROM nation WHERE n_regionkey = 0) AS region, (SELECT count(*) > 0 FROM supplier WHERE s_suppkey = 0) AS supplier")
+def _(spark, sf):
+    return one_row(spark, region=load(spark, sf, "nation", "n_regionkey").containsZero(), supplier=load(spark, sf, "supplier", "s_suppkey").containsZero())
+
+
+@query("identical", "SELECT TRUE AS same, FALSE AS changed, TRUE AS near")
+def _(spark, sf):
+    f = load(spark, sf, "orders", "o_orderkey", "o_totalprice", order=["o_orderkey"])
+    g = f.copy()
+    g.transformElements(lambda v: v + 1, features="o_totalprice")
+    return one_row(spark, same=f.isIdentical(f.copy()), changed=f.isIdentical(g), near=f.isApproximatelyEqual(f.copy()))
+
+
+@query("shape", "SELECT count(*) AS points, 3::BIGINT AS features FROM lineitem")
+def _(spark, sf):
+    n, p = load(spark, sf, "lineitem", "l_orderkey", "l_tax", "l_discount").shape
+    return one_row(spark, points=n, features=F.lit(p).cast("long"))
+
+
+@query("unflatten", "SELECT n_nationkey - n_nationkey % 5 AS first, n_nationkey - n_nationkey % 5 + 4 AS last FROM nation WHERE n_nationkey % 5 = 0")
+def _(spark, sf):
+    f = load(spark, sf, "nation", "n_nationkey", order=["n_nationkey"])
+    f.flatten()
+    f.unflatten((5, 5))
+    return f._df.select(F.col("f0").cast("long").alias("first"), F.col("f4").cast("long").alias("last"))
+
+
+@query("index_element", "SELECT n_name AS name FROM nation WHERE n_nationkey = 7")
+def _(spark, sf):
+    return one_row(spark, name=load(spark, sf, "nation", "n_nationkey", "n_name", order=["n_nationkey"])[7, "n_name"])
+
+
+@query("index_slice", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 9")
+def _(spark, sf):
+    return load(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey", order=["n_nationkey"])[3:9, ["n_nationkey", "n_name"]].to_spark()
+
+
+@query("point_view", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 4")
+def _(spark, sf):
+    return load(spark, sf, "supplier", "s_suppkey", "s_acctbal", order=["s_suppkey"]).pointView(4).to_spark()
+
+
+@query("feature_view", "SELECT s_acctbal FROM supplier")
+def _(spark, sf):
+    return load(spark, sf, "supplier", "s_suppkey", "s_acctbal").featureView("s_acctbal").to_spark()
+
+
+@query("features_count", "SELECT 2::BIGINT AS n")
+def _(spark, sf):
+    return one_row(spark, n=F.lit(load(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").features.count(lf.match.allNonMissing) - 1).cast("long"))
+
+
+@query("features_permute", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    f.features.permute([2, 0, 1])
+    return f.to_spark()
+
+
+@query("features_transform", "SELECT p_partkey, p_size * 10 AS p_size FROM part")
+def _(spark, sf):
+    f = load(spark, sf, "part", "p_partkey", "p_size", order=["p_partkey"])
+    f.features.transform(lambda v: [x * 10 for x in v], features="p_size")
+    return f.to_spark().select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+
+
+@query("features_replace", "SELECT s_suppkey, -s_acctbal AS s_acctbal FROM supplier")
+def _(spark, sf):
+    f = load(spark, sf, "supplier", "s_suppkey", "s_acctbal", order=["s_suppkey"])
+    f.features.replace(-f.features.copy("s_acctbal"), features="s_acctbal")
+    return f.to_spark()
+
+
+@query("features_repeat", "SELECT r_regionkey AS a, r_regionkey AS b FROM region")
+def _(spark, sf):
+    f = load(spark, sf, "region", "r_regionkey").features.repeat(2, True)
+    return f._df.select(F.col("f0").alias("a"), F.col("f1").alias("b"))
+
+
+@query("features_unique", "SELECT r_regionkey, r_name FROM region")
+def _(spark, sf):
+    r = spark.read.parquet(f"{sf}/region.parquet")
+    return Frame.from_spark(r.select("r_regionkey", "r_name", F.col("r_regionkey").alias("again"))).features.unique().to_spark()
+
+
+@query("points_fill_matching", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, sf):
+    f = load(spark, sf, "customer", "c_custkey", "c_acctbal", order=["c_custkey"])
+    f.points.fillMatching(0, lf.match.negative)
+    return f.to_spark().select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query("normalize_rangeNormalize", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) * 4 - 2, 4) AS p_retailprice FROM part")
+def _(spark, sf):
+    f = load(spark, sf, "part", "p_partkey", "p_retailprice")
+    f.features.normalize(lambda a, b=None: C.rangeNormalize(a, b, -2, 2), features="p_retailprice")
+    return rounded(f.to_spark())
+
+
+@query("elementwise_multiply", "SELECT round(l_quantity * l_tax, 4) AS v FROM lineitem")
+def _(spark, sf):
+    f = load(spark, sf, "lineitem", "l_quantity", "l_tax")
+    a, b = f.features.copy("l_quantity"), f.features.copy("l_tax")
+    b.features.setNames(["l_quantity"])
+    return rounded(C.elementwiseMultiply(a, b)._df.select(F.col("f0").alias("v")))
+
+
+@query("elementwise_power", "SELECT round(pow(l_tax, 2.0), 6) AS v FROM lineitem")
+def _(spark, sf):
+    return rounded(C.elementwisePower(load(spark, sf, "lineitem", "l_tax"), 2)._df.select(F.col("f0").alias("v")), 6)
+
+
+#: Sums of products of two features: a square table that has an inverse.
+_GRAM = "SELECT sum(s_acctbal * s_acctbal)::DOUBLE / 1000000 AS a, sum(s_acctbal)::DOUBLE / 1000 AS b, count(*)::DOUBLE AS d FROM supplier"
+
+
+def _gram_frame(spark, sf) -> Frame:
+    a, b, d = spark.read.parquet(f"{sf}/supplier.parquet").agg(F.sum(F.col("s_acctbal") * F.col("s_acctbal")) / 1e6, F.sum("s_acctbal") / 1e3, F.count("*").cast("double")).first()
+    return lf.data([[float(a), float(b)], [float(b), float(d)]], featureNames=["x", "y"])
+
+
+def _xy(f: Frame, digits: int) -> DataFrame:
+    return rounded(f._df.select(F.col("f0").cast("double").alias("x"), F.col("f1").cast("double").alias("y")), digits)
+
+
+@query("matrix_inverse", f"SELECT round(d / (a * d - b * b), 8) AS x, round(-b / (a * d - b * b), 8) AS y FROM ({_GRAM}) UNION ALL SELECT round(-b / (a * d - b * b), 8), round(a / (a * d - b * b), 8) FROM ({_GRAM})")
+def _(spark, sf):
+    return _xy(_gram_frame(spark, sf).inverse(), 8)
+
+
+@query("matrix_pseudo_inverse", f"SELECT round(d / (a * d - b * b), 8) AS x, round(-b / (a * d - b * b), 8) AS y FROM ({_GRAM}) UNION ALL SELECT round(-b / (a * d - b * b), 8), round(a / (a * d - b * b), 8) FROM ({_GRAM})")
+def _(spark, sf):
+    return _xy(C.pseudoInverse(_gram_frame(spark, sf)), 8)
+
+
+@query("matrix_power", f"SELECT round(a * a + b * b, 2) AS x, round(b * (a + d), 2) AS y FROM ({_GRAM}) UNION ALL SELECT round(b * (a + d), 2), round(b * b + d * d, 2) FROM ({_GRAM})")
+def _(spark, sf):
+    return _xy(_gram_frame(spark, sf).matrixPower(2), 2)
+
+
+def _solution(solver):
+    return lambda spark, sf: one_row(spark, **dict(zip("xy", (round(float(v), 6) for v in _flat(solver(_gram_frame(spark, sf), lf.data([[1.0], [2.0]])))), strict=True)))
+
+
+def _flat(f: Frame) -> list:
+    return [v for r in f.copy("pythonlist") for v in (r if isinstance(r, list) else [r])]
+
+
+_SOLVED = f"SELECT round((d - 2 * b) / (a * d - b * b), 6) AS x, round((2 * a - b) / (a * d - b * b), 6) AS y FROM ({_GRAM})"
+query("matrix_solve", _SOLVED)(_solution(C.solve))
+query("matrix_least_squares", _SOLVED)(_solution(C.leastSquaresSolution))
+
+
+@query("linear_regression", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 2) AS start, round(regr_slope(l_extendedprice, l_quantity), 2) AS slope FROM lineitem")
+def _(spark, sf):
+    model = lf.train("MultiOutputLinearRegression", load(spark, sf, "lineitem", "l_quantity", "l_extendedprice"), "l_extendedprice")
+    start, slope = (float(v[0]) for v in model.getAttributes()["w"])
+    return one_row(spark, start=round(start, 2), slope=round(slope, 2))
+
+
+@query("train_and_test", "SELECT round(sqrt(avg(pow(l_extendedprice - b * l_quantity, 2))), 2) AS value FROM lineitem, (SELECT sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS b FROM lineitem)")
+def _(spark, sf):
+    f = load(spark, sf, "lineitem", "l_quantity", "l_extendedprice")
+    return one_row(spark, value=round(float(lf.trainAndTestOnTrainingData("RidgeRegression", C.rootMeanSquareError, f, "l_extendedprice", lamb=0)), 2))
+
+
+@query("tune_ridge", "SELECT 0::BIGINT AS lamb, 3::BIGINT AS tried")
+def _(spark, sf):
+    f = load(spark, sf, "part", "p_partkey", order=["p_partkey"])
+    y = f * 3
+    tuning = lf.Tuning("brute force", "cross validation", performanceFunction=C.rootMeanSquareError)
+    tuning.tune("RidgeRegression", f, y, {"lamb": lf.Tune([0, 10_000_000, 100_000_000])}, C.rootMeanSquareError, 7)
+    return one_row(spark, lamb=F.lit(tuning.bestArguments["lamb"]).cast("long"), tried=F.lit(len(tuning.allResults)).cast("long"))
+
+
+def _file_trip(kind: str):
+    def run(spark, sf):
+        import os
+        import tempfile
+
+        # the folder that driver and executors share, where the session names one
+        shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+        shared = "" if "://" in shared else shared
+        os.makedirs(shared or ".", exist_ok=True)
+        path = os.path.join(tempfile.mkdtemp(dir=shared or None), f"supplier.{kind}")
+        load(spark, sf, "supplier", "s_suppkey", "s_nationkey", order=["s_suppkey"]).save(path)
+        got = lf.data(path)
+        return got._df.select(F.col("f0").cast("long").alias("s_suppkey"), F.col("f1").cast("long").alias("s_nationkey"))
+
+    return run
+
+
+for _k in ("csv", "mtx"):
+    query(f"file_{_k}", "SELECT s_suppkey, s_nationkey FROM supplier")(_file_trip(_k))
+
+
+for _n, _sql in {"boolean": "FALSE", "integer": "TRUE", "floating": "FALSE", "numeric": "TRUE", "nonNumeric": "FALSE", "missing": "FALSE", "nonMissing": "TRUE", "infinity": "FALSE"}.items():
+
+    def _typed(spark, sf, _n=_n):
+        f = load(spark, sf, "part", "p_partkey", "p_size")
+        both = f._beside(f.matchingElements(getattr(lf.match, _n), features="p_size"))
+        return both[0].select(both[1][0].alias("p_partkey"), both[2][0].cast("boolean").alias("hit"))
+
+    query(f"match_{_n}", f"SELECT p_partkey, {_sql} AS hit FROM part")(_typed)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Large quantities, grouped by flag and status: a query string, then one aggregation."""
     f = load(spark, sf, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice").points.copy("l_quantity > 45")
