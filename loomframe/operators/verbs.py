@@ -62,18 +62,17 @@ def merged_plan(left: Frame, right: Frame, point: str, feature: str, onFeature,
     shared = [n for n in left._names if n is not None and n in at and n != (left._names[i] if i is not None else None)]
     l = left._df.select(lk.alias("__k"), F.col(PID).alias("__l"), *([F.col(PNAME).alias("__ln")] if left._named else []), *[F.col(c).alias(f"l{k}") for k, c in enumerate(left._cols)])  # noqa: E741
     r = right._df.select(rk.alias("__rk"), F.col(PID).alias("__r"), *([F.col(PNAME).alias("__rn")] if right._named else []), *[F.col(c).alias(f"r{k}") for k, c in enumerate(right._cols)])
-    if check:
-        twice = [d.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1") for d, k in ((l, "__k"), (r, "__rk"))]
-        many = [not t.isEmpty() for t in twice]
-        if all(many) or point == "strict" and any(many):
-            raise InvalidArgumentValue("the key must be unique on one side at least (on both where points are strict)")
+    twice = [d.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1") for d, k in ((l, "__k"), (r, "__rk"))]
+    many = [not t.isEmpty() for t in twice]
+    if all(many) or point == "strict" and any(many):
+        raise InvalidArgumentValue("the key must be unique on one side at least (on both where points are strict)")
     how = {"strict": "inner", "intersection": "inner", "left": "left", "union": "full"}[point]
     both = l.join(r, F.col("__k") == F.col("__rk"), how)
-    if check and point == "strict":
+    if point == "strict":
         n = [left._count(), right._count(), both.count()]
         if len(set(n)) > 1:
             raise InvalidArgumentValue("points must be the same")
-    if check and shared:
+    if shared:
         clash = F.lit(False)
         for n in shared:
             clash = clash | (F.col(f"l{left._names.index(n)}") != F.col(f"r{at[n]}"))
