@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomframe.llm import ann, bpe, flac, neardup, packing, passages, pii, quality, sharding, tokencount
+from loomframe.llm import ann, arrowtext, bpe, flac, neardup, packing, passages, pii, quality, sharding, tokencount, wordhash
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "One two three"), (1, "One two three"), (2, None), (3, ""), (None, "no id"), (4, "x " * 5000), (5, "tie"), (6, "tie"), (7, "Mail a.b@c.org or +1 (606) 555-7814, host 10.0.0.300 and 10.0.0.30")]
@@ -314,6 +315,46 @@ def test_passages_of_lines_that_others_have_alone(spark):
     assert set(got.doc_id) == {d for of in grams.values() for d in sorted(of)[1:]}
 
 
+@pytest.mark.parametrize(("hot", "few"), [(64, 8), (2, 8), (2, 0)])
+def test_passages_with_any_document_that_has_their_seeds(spark, monkeypatch, hot, few):
+    monkeypatch.setattr(passages, "HOT", hot, raising=False)
+    monkeypatch.setattr(passages, "FEW", few, raising=False)
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs, want = {}, set()
+    for k in range(4):
+        p, at = words(70), 1000 * k
+        pieces = [p[i : i + 20] for i in range(0, 51, 5)]
+        for i, piece in enumerate(pieces):  # others have each piece, before the source and just before the copy
+            docs[at + i] = words(30) + piece + words(30)
+            docs[at + 500 + i] = words(10) + piece + words(40)
+        docs[at + 400] = words(20) + p + words(50)
+        q = list(p)
+        for i in (17, 35, 53):  # no 50 words in a row
+            q[i] = "edit"
+        docs[at + 900] = words(40) + q + words(15)
+        want.add((at + 900, at + 400))
+    rows = [(d, " ".join(w)) for d, w in docs.items()]
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert want <= set(zip(got.doc_id, got.source_doc_id, strict=True))
+    # by brute force: of all pairs of documents, each shared seed that lies in a passage lies in one of those found
+    seeds, hashed = {}, {}
+    for d, text in rows:
+        data, off = arrowtext.string_buffers(pa.array([text]))
+        begins, ends, first = wordhash.words(data, off)
+        hashed[d] = wordhash.word_hashes(data, begins, ends)
+        h, at = wordhash.shingle_hashes(hashed[d], first, passages.SEED)
+        seeds[d] = {int(h[i]): int(i) for i in passages.minimizers(h, at)}
+    for d in docs:
+        mine = got[got.doc_id == d]
+        covered = {w for s, n in zip(mine.start, mine.n_words, strict=True) for w in range(len(dict(rows)[d][:s].split()), len(dict(rows)[d][:s].split()) + n)}
+        for s in docs:
+            both = [(seeds[d][h], seeds[s][h]) for h in seeds[d] if h in seeds[s]] if s < d else []
+            for c in passages.chains(both) if len(both) > 1 else []:
+                for p, q, *_ in passages.parts(c, hashed[d].view(np.int64), hashed[s].view(np.int64)) if len(c) > 1 else []:
+                    assert all(set(range(i, i + passages.SEED)) <= covered for i, _ in c if p <= i and i + passages.SEED <= q)
+
+
 def test_nearest(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(700, 16)).astype(np.float32)
