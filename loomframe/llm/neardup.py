@@ -48,7 +48,8 @@ FREQUENT_IN_SLICE = 3
 SLICE_BYTES = wordhash.STEP
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Bits of a set's bitmap: a power of two, at least BITS_EACH times its shingles, within these bounds; a bitmap that travels with each routed
-#: shingle has ROUTE_BITS at most. Fewer bits rule out fewer pairs, and never one that is linked.
+#: shingle has ROUTE_BITS at most, and from 90 % on one bit a shingle: of two unlike sets of as many shingles as bits, each has nearly a quarter of its
+#: shingles apart, where linked ones have a nineteenth. Fewer bits rule out fewer pairs, and never one that is linked.
 BITS_EACH, LEAST_BITS, ROUTE_BITS, MOST_BITS = 3, 512, 1 << 15, 1 << 17
 #: Classes of a bucket that one task connects; a larger bucket is dealt out by pairs of shingles.
 HOT = 2048
@@ -103,8 +104,13 @@ def bit_matrix(row: np.ndarray, col: np.ndarray, width: int, n: int) -> np.ndarr
     return out
 
 
-def width_of(n: int, most: int = MOST_BITS) -> int:
-    return min(most, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else LEAST_BITS))
+def width_of(n: int, most: int = MOST_BITS, each: int = BITS_EACH) -> int:
+    return min(most, max(LEAST_BITS, 1 << (each * n - 1).bit_length() if n else LEAST_BITS))
+
+
+def route_width(n: int, percent: int) -> int:
+    """Bits of the bitmap that travels with each routed shingle of a set of n."""
+    return width_of(n, ROUTE_BITS, 1 if percent >= 90 else BITS_EACH)
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -317,7 +323,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
                 first = [prefix(s, frequent.value, percent) if len(s) else s for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
                 flat = np.concatenate(first).astype(np.int64) if first else np.zeros(0, np.int64)
-                bits = [bitmap(s, width_of(len(s), ROUTE_BITS)).tobytes() for s in sets]
+                bits = [bitmap(s, route_width(len(s), percent)).tobytes() for s in sets]
                 cols = [part.column(0), pa.array(np.arange(number, number + len(sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), part.column(2)], ["doc_id", "row", "n", "class", "prefix", "bits", "text_hash"])
                 number += len(sets)

@@ -244,6 +244,20 @@ def test_chains_and_alignment():
     assert (p, q, s, t) == (40, 140, 30, 130) and same == 99
 
 
+def test_routed_bitmaps_are_short_and_tell_sets_apart():
+    g = np.random.default_rng(6)
+    for n in (600, 1000, 4000):
+        base = np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
+        near, far = np.unique(np.concatenate([base[n // 20 :], base[: n // 50] + np.uint64(1)])), np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
+        bits = neardup.bitmap(base, neardup.route_width(n, 90))
+        assert bits.nbytes * 8 < 2 * n  # one bit a shingle, up to the next power of two
+        assert neardup.route_width(n, 80) >= 3 * n
+        sets = neardup.Signatures(np.array([len(s) for s in (base, near, far)]), np.stack([neardup.bitmap(s, len(bits) * 64) for s in (base, near, far)]), 90)
+        shared = len(np.intersect1d(base, near))
+        assert 100 * shared >= 90 * (len(base) + len(near) - shared)  # linked
+        assert sets.possible(np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+
+
 @pytest.mark.parametrize("long", [60, 200])
 @pytest.mark.parametrize("gap", [20, 31, 60, 100, 170, 350, 600])
 def test_passages_around_a_gap_are_kept(long, gap):
