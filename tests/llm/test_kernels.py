@@ -284,6 +284,33 @@ def test_passages_around_a_gap_are_kept(long, gap):
         assert all(covered[p:q].all() for p, q in held)
 
 
+@pytest.mark.parametrize("kind", ["replaced", "left out", "both"])
+def test_words_around_a_seed_allow_every_passage(kind):
+    g = np.random.default_rng(6)
+    reach = 2 * passages.MIN_WORDS - 4
+    near = np.zeros((400, passages.SEED + 2 * reach), np.uint16)
+    for k in range(0, len(near), 2):  # a passage of 50 to 99 words, of which 80 % agree, around a seed anywhere in it
+        n = int(g.integers(50, 100))
+        at = int(g.integers(0, n - passages.SEED + 1))
+        mine = g.integers(2, 65536, n).astype(np.uint16)
+        free = np.setdiff1d(np.arange(n), np.arange(at, at + passages.SEED))
+        off = g.choice(free, n - -(-8 * n // 10), replace=False)
+        theirs, spot = mine.copy(), at
+        if kind == "replaced":
+            theirs[off] = g.integers(2, 65536, len(off))
+        else:
+            theirs, spot = np.delete(theirs, off), at - int((off < at).sum())
+        if kind == "both":  # and as many words put in elsewhere
+            put = g.choice(np.setdiff1d(np.arange(len(theirs) + 1), np.arange(spot, spot + passages.SEED + 1)), len(off))
+            theirs, spot = np.insert(theirs, put, g.integers(2, 65536, len(put))), spot + int((put <= spot).sum())
+        for row, text, place in ((k, mine, at), (k + 1, theirs, spot)):
+            near[row, reach - place : reach - place + len(text)] = text
+    mine, yours = np.arange(0, len(near), 2), np.arange(1, len(near), 2)
+    assert passages.dense(near[mine], near[yours]).all() and not passages.dense(near[mine], near[np.roll(yours, 1)]).any()
+    pairs = {(int(i), int(j)) for a, b in passages.in_common(near, mine, yours) for i, j in zip(a, b, strict=True)}
+    assert pairs >= set(zip(mine.tolist(), yours.tolist(), strict=True)) and len(pairs) < 2 * len(mine)
+
+
 def test_minimizers_are_shared():
     g = np.random.default_rng(4)
     run = g.integers(0, 2**63, passages.WINDOW).astype(np.uint64)

@@ -355,6 +355,25 @@ def test_passages_with_any_document_that_has_their_seeds(spark, monkeypatch, hot
                     assert all(set(range(i, i + passages.SEED)) <= covered for i, _ in c if p <= i and i + passages.SEED <= q)
 
 
+def test_pairs_with_one_common_line_only_are_not_aligned(spark, monkeypatch):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line, body = words(24), words(30)
+    docs = [words(60) + line + words(60) for _ in range(200)]
+    docs[20] = words(60) + line + body + words(30)
+    docs[150] = words(9) + line + [w if i % 9 else "edit" for i, w in enumerate(body)] + words(9)
+    met, aligned = [], passages._aligned
+
+    def counted(df, lists, *rest):
+        met.append(lists.count())
+        return aligned(df, lists, *rest)
+
+    monkeypatch.setattr(passages, "_aligned", counted)
+    rows = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    got = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [(x.doc_id, x.source_doc_id) for x in got] == [(150, 20)] and met[1] < 20
+
+
 def test_nearest(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(700, 16)).astype(np.float32)
