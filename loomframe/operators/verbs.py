@@ -16,9 +16,13 @@ from loomframe.plans.frame import PID, PNAME, Frame, ranked, session
 
 
 def _beside(self: Frame, other: Frame) -> tuple[DataFrame, list[Column], list[Column]]:
-    """Points of both tables joined by place, with the columns of each; without a join if both are one plan."""
+    """Points of both tables joined by place, with the columns of each; without a join if both are columns of one plan.
+    Only then are the ids those that self had before: those of a table joined by place are places."""
     if other._df is self._df:
         return self._df, [F.col(c) for c in self._cols], [F.col(c) for c in other._cols]
+    (df, x, _), (same, y, _) = self._rooted(), other._rooted()
+    if same is df:
+        return df, list(x), list(y)
     a, b = self._densify(), other._densify()
     if a._count() != b._count():
         raise InvalidArgumentValue("tables differ in their number of points")
@@ -272,7 +276,8 @@ def binary(self: Frame, op: str, other, swapped: bool = False):
     if isinstance(other, Stretch):
         return NotImplemented
     _numeric_only(self)
-    mine = list(zip(map(F.col, self._cols), self._types, strict=True))
+    df, mine, weight = self._rooted()
+    mine = list(zip(mine, self._types, strict=True))
     if isinstance(other, Frame):
         _numeric_only(other)
         if self.shape != other.shape:
@@ -285,18 +290,19 @@ def binary(self: Frame, op: str, other, swapped: bool = False):
                 other = other._select([other._names.index(n) for n in self._names])
         if op in DIVIDING and other.containsZero():
             raise ZeroDivisionError("the divisor has a zero")
+        weight += other._rooted()[2]
         df, a, b = _beside(self, other)
         cols = apply_columns(op, list(zip(a, self._types, strict=True)), list(zip(b, other._types, strict=True)))
     elif isinstance(other, (int, float, np.number)):
         value = other.item() if hasattr(other, "item") else other
         if op in DIVIDING and (self.containsZero() if swapped else value == 0):
             raise ZeroDivisionError("the divisor has a zero")
-        df, kind = self._df, T.DoubleType() if isinstance(value, float) else T.LongType()
+        kind = T.DoubleType() if isinstance(value, float) else T.LongType()
         scalar = [(F.lit(value), kind)] * len(mine)
         cols = apply_columns(op, scalar, mine) if swapped else apply_columns(op, mine, scalar)
     else:
         return NotImplemented
-    return self._with(df.select(*self._keys, *[c.alias(f"f{i}") for i, c in enumerate(cols)]), rows=self._rows)
+    return self._derived(df, cols, weight, rows=self._rows)
 
 
 def logical(self: Frame, op: str, other: Frame) -> Frame:
@@ -316,7 +322,8 @@ def _invert(self: Frame) -> Frame:
 def _unary(f):
     def verb(self: Frame) -> Frame:
         _numeric_only(self)
-        return self._with(self._df.select(*self._keys, *[f(F.col(c)).alias(c) for c in self._cols]), rows=self._rows)
+        df, cols, weight = self._rooted()
+        return self._derived(df, [f(c) for c in cols], weight, rows=self._rows)
 
     return verb
 
@@ -405,7 +412,9 @@ def _residuals(self: Frame, toPredict: Frame) -> Frame:
         for i, v in enumerate(x):
             fit = fit + v * F.lit(float(beta[i + 1, k]))
         out.append(c - fit)
-    return toPredict._with(df.select(PID, *[c.alias(f"f{k}") for k, c in enumerate(out)]), rows=self._rows)
+    got = toPredict._with(df.select(PID, *[c.alias(f"f{k}") for k, c in enumerate(out)]), rows=self._rows)
+    got._root = (df, out, len(y) * (len(x) + 1))
+    return got
 
 
 # -- display and sinks -----------------------------------------------------------------------------------------------------------

@@ -23,6 +23,8 @@ from loomframe.functions import statistics as S
 PID, PNAME = "__pid", "__pname"
 #: Rows that one task ranks.
 RANK_ROWS = 500_000
+#: Columns that expressions over a root may name; sums of sums would double them without end.
+ROOT_MOST = 2_000
 
 
 def session() -> SparkSession:
@@ -84,6 +86,7 @@ class Frame:
         self._df, self._names, self._dense, self.name, self.absolutePath = df, list(names), dense, name, path
         self._rows, self._dims, self._read_only = rows, dims, read_only
         self._source: DataFrame | None = None
+        self._root: tuple[DataFrame, list[Column], int] | None = None
         known = [n for n in names if n is not None]
         if len(set(known)) != len(known):
             raise InvalidArgumentValue("feature names must be unique")
@@ -117,13 +120,16 @@ class Frame:
         return self._df.select(*names, *([F.col(PNAME).alias("pointNames")] if self._named else []), *[F.col(f"f{i}").alias(n if n is not None else f"_c{i}") for i, n in enumerate(self._names)])
 
     def _with(self, df: DataFrame, names=None, dense=None, rows=None, **more) -> Frame:
-        return Frame(df, self._names if names is None else names, self._dense if dense is None else dense, more.get("name", self.name), self.absolutePath, rows)
+        out = Frame(df, self._names if names is None else names, self._dense if dense is None else dense, more.get("name", self.name), self.absolutePath, rows)
+        if df is self._df:
+            out._root = self._root
+        return out
 
     def _rebind(self, other: Frame) -> None:
         if self._read_only:
             raise ImproperObjectAction("a view cannot be changed")
         self._df, self._names, self._dense, self._rows = other._df, other._names, other._dense, other._rows
-        self._dims, self._source = None, other._source
+        self._dims, self._source, self._root = None, other._source, other._root
 
     @property
     def _named(self) -> bool:
@@ -146,12 +152,23 @@ class Frame:
             self._rows = self._df.count()
         return self._rows
 
+    def _rooted(self) -> tuple[DataFrame, list[Column], int]:
+        """A plan that this one only computes columns of, the columns, and how many of the plan's they name: tables of one root are side by side without a join."""
+        return self._root or (self._df, [F.col(c) for c in self._cols], len(self._names))
+
+    def _derived(self, df: DataFrame, cols: list[Column], weight: int, names=None, rows=None) -> Frame:
+        """The frame of columns over a root of this frame."""
+        out = self._with(df.select(*self._keys, *[c.alias(f"f{k}") for k, c in enumerate(cols)]), names, rows=rows)
+        if weight <= ROOT_MOST:
+            out._root = (df, cols, weight)
+        return out
+
     def _densify(self) -> Frame:
         """Gives points their places as ids; once, if nothing moves them."""
         if not self._dense:
             n = self._count()
             self._df = ranked(self._df.withColumnRenamed(PID, "__old"), [F.col("__old")], PID, n).drop("__old").select(*self._keys_of(PNAME in self._df.columns), *self._cols)
-            self._dense, self._source = True, None
+            self._dense, self._source, self._root = True, None, None
         return self
 
     @staticmethod
@@ -315,8 +332,8 @@ class Frame:
         return out
 
     def _select(self, indices: list[int]) -> Frame:
-        df = self._df.select(*self._keys, *[F.col(f"f{i}").alias(f"f{k}") for k, i in enumerate(indices)])
-        out = self._with(df, [self._names[i] for i in indices], rows=self._rows)
+        df, cols, weight = self._rooted()
+        out = self._derived(df, [cols[i] for i in indices], weight, [self._names[i] for i in indices], self._rows)
         if self._source is not None:
             names = [PNAME] if PNAME in self._source.columns else []
             out._source = self._source.select(*names, *[F.col(f"f{i}").alias(f"f{k}") for k, i in enumerate(indices)])
@@ -328,6 +345,7 @@ class Frame:
         if keys and all(isinstance(k, (bool, np.bool_)) for k in keys):
             if len(keys) != self._count():
                 raise KeyError("a mask must have one value for each point")
+            self._densify()
             return [i for i, k in enumerate(keys) if k]
         self._densify()
         names = {k for k in keys if isinstance(k, str)}

@@ -474,7 +474,7 @@ def _arithmetic(op: Callable[[Frame, Frame], Frame]):
         b = f.features.copy("l_tax")
         b.features.setNames(["l_quantity"])
         got = op(a, b)
-        keys, x, y = f._beside(got) if got._df is f._df else (f._df.join(got._df.select(PID, F.col("f0").alias("v")), PID), [F.col("f0"), F.col("f1")], [F.col("v")])
+        keys, x, y = f._beside(got)
         return rounded(keys.select(x[0].alias("l_orderkey"), x[1].alias("l_linenumber"), y[0].alias("v")))
 
     return run
@@ -509,8 +509,8 @@ def _(spark, sf):
 def _(spark, sf):
     f = load(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     got = C.residuals(f.features.copy("l_extendedprice"), f.features.copy("l_quantity"))
-    both = f._df.join(got._df.select(PID, F.col("f0").alias("residual")), PID)
-    return rounded(both.select(F.col("f0").alias("l_orderkey"), F.col("f1").alias("l_linenumber"), "residual"), 2)
+    both, x, y = f._beside(got)
+    return rounded(both.select(x[0].alias("l_orderkey"), x[1].alias("l_linenumber"), y[0].alias("residual")), 2)
 
 
 @query("ridge", "SELECT round(sum(l_quantity * l_extendedprice) / (sum(l_quantity * l_quantity) + 10), 4) AS w FROM lineitem")
