@@ -98,6 +98,9 @@ def paired(known, predicted) -> tuple[DataFrame, list[Column], list[Column]]:
     if known._df is predicted._df and known._names == predicted._names:
         both = known._df
         return both, [F.col(c) for c in known._cols], [F.col(c) for c in predicted._cols]
+    (df, k, _), (same, p, _) = known._rooted(), predicted._rooted()
+    if same is df:
+        return df, list(k), list(p)
     a, b = known._densify(), predicted._densify()
     both = a._df.select(PID, *[F.col(c).alias(f"k{i}") for i, c in enumerate(a._cols)]).join(b._df.select(PID, *[F.col(c).alias(f"p{i}") for i, c in enumerate(b._cols)]), PID)
     n = range(len(a._names))

@@ -111,12 +111,13 @@ class MultiOutputLinearRegression(CustomLearner):
 def linear(X: Frame, w: np.ndarray, start) -> Frame:
     start = np.broadcast_to(np.asarray(start, float), (w.shape[1],))
     cols = []
+    df, x, weight = X._rooted()
     for k in range(w.shape[1]):
         total = F.lit(float(start[k]))
-        for i, c in enumerate(X._cols):
-            total = total + F.col(c) * F.lit(float(w[i, k]))
-        cols.append(total.alias(f"f{k}"))
-    return X._with(X._df.select(*X._keys, *cols), [None] * w.shape[1], rows=X._rows)
+        for i, c in enumerate(x):
+            total = total + c * F.lit(float(w[i, k]))
+        cols.append(total)
+    return X._derived(df, cols, weight * w.shape[1], [None] * w.shape[1], X._rows)
 
 
 def nearest(t: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import weakref
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from loomframe import random as R
 from loomframe.exceptions import InvalidArgumentValue, InvalidArgumentValueCombination
 from loomframe.functions.calculate import detectBestResult
 from loomframe.operators.points import stacked
-from loomframe.plans.frame import PID, Frame, ranked
+from loomframe.plans.frame import PID, PNAME, Frame, ranked
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -33,22 +34,51 @@ def k_fold_plan(frame: Frame, folds: int, seed: int):
 
 
 class FoldIterator:
-    """Pairs of training and validation tables, for each of the tables given."""
+    """Pairs of training and validation tables, for each of the tables given: parts of one plan, which is kept while the iterator is."""
 
     def __init__(self, frames: list[Frame]):
         self.frames = [f for f in frames if f is not None]
+        self._whole = together(self.frames)
         self.plan, self.folds = self.makeFoldList()
+        self._plan, self._sizes = None, {}
 
     def makeFoldList(self):
         raise NotImplementedError
 
     def __iter__(self):
+        whole = self._whole
+        if self._plan is None:
+            self._plan = whole._densify()._df.join(self.plan, PID).persist()
+            weakref.finalize(self, self._plan.unpersist).atexit = False
+            self._sizes = {r["fold"]: r["count"] for r in self._plan.groupBy("fold").count().collect()}
+        n = sum(self._sizes.values())
         for k in range(self.folds):
-            out = []
-            for f in self.frames:
-                both = f._densify()._df.join(self.plan, PID)
-                out.append(tuple(f._with(both.filter(cut).select(*f._keys, *f._cols), dense=False) for cut in (F.col("fold") != k, F.col("fold") == k)))
-            yield out
+            held, out = self._sizes.get(k, 0), [[] for _ in self.frames]
+            for cut, rows in ((F.col("fold") != k, n - held), (F.col("fold") == k, held)):
+                part, at = self._plan.filter(cut), 0
+                for f, pair in zip(self.frames, out, strict=True):
+                    cols = [F.col(f"f{at + i}") for i in range(len(f._names))]
+                    made = whole._with(part if f._named else part.drop(PNAME))._derived(part, cols, len(cols), f._names, rows)
+                    made._dense, at = False, at + len(cols)
+                    pair.append(made)
+            yield [tuple(pair) for pair in out]
+
+
+def together(frames: list[Frame]) -> Frame:
+    """The features of all frames as those of one, without names; of point names those of the first frame that has them."""
+    df, cols, _ = frames[0]._rooted()
+    if all(f._rooted()[0] is df for f in frames[1:]):
+        cols = [c for f in frames for c in f._rooted()[1]]
+        return frames[0]._with(df.select(*frames[0]._keys, *[c.alias(f"f{i}") for i, c in enumerate(cols)]), [None] * len(cols), rows=frames[0]._rows)
+    n = {f._count() for f in frames}
+    if len(n) > 1:
+        raise InvalidArgumentValue("tables differ in their number of points")
+    at, named, df = 0, False, None
+    for f in frames:
+        names = [PNAME] if f._named and not named else []
+        part = f._densify()._df.select(PID, *names, *[F.col(c).alias(f"f{at + i}") for i, c in enumerate(f._cols)])
+        df, named, at = part if df is None else df.join(part, PID), named or bool(names), at + len(f._names)
+    return frames[0]._with(df.select(PID, *([PNAME] if named else []), *[f"f{i}" for i in range(at)]), [None] * at, dense=True, rows=n.pop())
 
 
 class KFoldIterator(FoldIterator):
@@ -57,7 +87,7 @@ class KFoldIterator(FoldIterator):
         super().__init__(frames)
 
     def makeFoldList(self):
-        return k_fold_plan(self.frames[0], self._k, self._seed), self._k
+        return k_fold_plan(self._whole, self._k, self._seed), self._k
 
 
 class GroupFoldIterator(FoldIterator):
@@ -68,8 +98,8 @@ class GroupFoldIterator(FoldIterator):
         super().__init__(frames)
 
     def makeFoldList(self):
-        f = self.frames[0]._densify()
-        c = f"f{f._feature_index(self._feature)}"
+        f = self._whole._densify()
+        c = f"f{self.frames[0]._feature_index(self._feature)}"
         first = f._df.groupBy(c).agg(F.min(PID).alias("p"))
         n = first.count()
         order = ranked(first, [F.col("p")], "fold", n)
@@ -104,23 +134,32 @@ class CrossValidator(Validator):
         from loomframe.learn.learners import train
 
         known, got, self.deep = [], [], []
-        for (trainX, testX), (trainY, testY) in self._iterator():
-            for f in (trainX, testX, trainY, testY):
-                f._densify()
+        self._parts = getattr(self, "_parts", None) or self._iterator()
+        for (trainX, testX), (trainY, testY) in self._folds():
             out = train(self.learnerName, trainX, trainY, args, randomSeed=self.randomSeed).apply(testX)
             self.deep.append(self.performanceFunction(testY, out))
             log.active.logDeepRun(None, type(self).__name__, self.learnerName, args, self.deep[-1])
             known.append(testY)
             got.append(out)
-        return self.performanceFunction(_joined(known), _joined(got))
+        return self.performanceFunction(*_joined(known, got))
 
+    def _folds(self):
+        return iter(self._parts)
 
-def _joined(frames: list[Frame]) -> Frame:
-    shift, parts = 0, []
-    for f in frames:
-        parts.append(f._densify()._df.select((F.col(PID) + shift).alias(PID), *f._cols))
-        shift += f._count()
-    return frames[0]._with(stacked(frames[0], parts), dense=True, rows=shift)
+
+def _joined(known: list[Frame], got: list[Frame]) -> tuple[Frame, Frame]:
+    """The points of all tables, and of their partners, as tables of one plan: table by table."""
+    parts, n, a, b = [], 0, len(known[0]._names), len(got[0]._names)
+    for i, (one, other) in enumerate(zip(known, got, strict=True)):
+        df, x, y = one._beside(other)
+        # ids of a table are below 2 ** 48: those of the scan have 33 bits and a partition, or are places
+        parts.append(df.select((F.col(PID) + F.lit(i).cast("long") * F.lit(1 << 48)).alias(PID), *[c.alias(f"f{k}") for k, c in enumerate(x + y)]))
+        n += one._count()
+    both = known[0]._with(parts[0], [None] * (a + b))
+    both = both._with(stacked(both, parts), dense=False, rows=n)
+    first, second = both._select(list(range(a))), both._select(list(range(a, a + b)))
+    first._names, second._names = list(known[0]._names), list(got[0]._names)
+    return first, second
 
 
 class KFold(CrossValidator):
@@ -146,9 +185,10 @@ class LeaveOneGroupOut(CrossValidator):
             self.X = X._select([i for i in range(len(X._names)) if i != at])
 
     def _iterator(self):
-        for group, x, y in GroupFoldIterator([self._group, self.X, self.Y], 0):
-            del group
-            yield x, y
+        return GroupFoldIterator([self._group, self.X, self.Y], 0)
+
+    def _folds(self):
+        return ((x, y) for _, x, y in self._parts)
 
 
 class HoldoutValidator(Validator):
