@@ -141,11 +141,12 @@ def nearest(t: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.n
 
 class KNNClassifier(CustomLearner):
     """The most frequent label of the k nearest points; of several the nearest point's. Training points of BLOCK cells
-    at most are broadcast; more are dealt into blocks, which lots of test points meet one by one, and each point's k
-    nearest of every block are ranked again. Both ways give the same labels."""
+    at most are broadcast, and test points dealt out so that a task compares some PAIRS at most; more are dealt into
+    blocks, which lots of test points meet one by one, and each point's k nearest of every block are ranked again. Both
+    ways give the same labels."""
 
     learnerType = "classification"
-    BLOCK, LOT = 20_000_000, 20_000
+    BLOCK, LOT, PAIRS = 20_000_000, 20_000, 100_000_000
 
     def train(self, trainX, trainY, k: int = 5):
         n, p = trainX.shape
@@ -165,6 +166,8 @@ class KNNClassifier(CustomLearner):
         if hasattr(self, "_train"):
             return self._near_blocks(test, testX._count())
         held = session().sparkContext.broadcast((self.x, self.y))
+        # places come from one task up to RANK_ROWS; the comparisons are to have many
+        test = test.repartition(max(1, -(-testX._count() * self.n // self.PAIRS)), PID)
 
         def run(batches):
             import pandas as pd

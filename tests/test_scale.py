@@ -105,3 +105,14 @@ def test_options_of_packages(monkeypatch):
     config.setInterfaceOptions(packages.Keras)
     assert config.settings.get("keras", "location") == ""
     del config.settings._session["keras", "location"]
+
+
+def test_neighbours_by_broadcast_have_tasks_by_their_pairs(spark, monkeypatch):
+    f = lf.data([[float((i * 13) % 17), float(i % 7), "ab"[i % 2]] for i in range(200)], featureNames=["x", "y", "label"])
+    f.points.sort("x")  # ranked in one task
+    x, y = f.features.copy(["x", "y"]), f.features.copy("label")
+    one = lf.trainAndApply("KNNClassifier", x, y, x, k=3)
+    monkeypatch.setattr(KNNClassifier, "PAIRS", 4000)
+    many = lf.trainAndApply("KNNClassifier", x, y, x, k=3)
+    assert (one._df.rdd.getNumPartitions(), many._df.rdd.getNumPartitions()) == (1, 10)
+    assert many.copy("pythonlist") == one.copy("pythonlist")
